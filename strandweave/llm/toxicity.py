@@ -14,8 +14,12 @@ log(1 + evidence).
 Insults are the fixed words below and the words and word beginnings that labelled documents
 show: presence in toxic against other documents, kept if the likelihood ratio is at least
 LEAST_G2 and at least LEAST_SHARE of the documents that hold it are toxic (smoothed);
-weight: the smoothed log odds.  Both the lexicon and the logistic function are fitted on at
-most SAMPLE_DOCS labelled documents that are not held out, those with the least hashes.
+weight: the smoothed log odds.  Of labelled documents that share their least five-word run
+only one counts, and words that stand only beside more common insults are left out, so that
+copies of a toxic document don't make its other words insults.  A longer beginning or whole word that is known not to be
+toxic clears what a shorter beginning says.  The lexicon and the logistic function are
+fitted on at most SAMPLE_DOCS labelled documents that are not held out, those with the
+least hashes, the function on evidence by lexicons of the other half of them.
 
 Defined results: null, empty and wordless texts have no evidence and the score of that;
 labels other than 0 and 1 and null ids are not learned from; several labels of an id count
@@ -26,6 +30,7 @@ are judged each; an empty table gives no rows; other columns play no part.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -53,6 +58,7 @@ BEGINNINGS = (4, 5, 6)  # bytes
 LEAST_G2 = 24.0
 LEAST_SHARE = 0.7
 MAX_TERMS = 50_000
+COMMON, MANY, NEW = 0.01, 25, 2
 DEFAULT = (-3.0, 3.0)
 THRESHOLD = 0.3
 MAX_WORDS = 300_000
@@ -75,9 +81,10 @@ class Lexicon(dict):
             self.clear()
         found = self.fixed.get(word)
         if found is None or found[0] == INSULT:
-            weight = self.words.get(word, 0.0)
-            for n in BEGINNINGS:
-                weight = max(weight, self.beginnings.get(word[:n], 0.0)) if len(word) >= n else weight
+            weight = self.words.get(word)
+            for n in reversed(BEGINNINGS):  # the most specific term that is known decides
+                if weight is None and len(word) >= n:
+                    weight = self.beginnings.get(word[:n])
             if weight:
                 found = (INSULT, max(weight, found[1] if found else 0.0))
         self[word] = found
@@ -118,17 +125,26 @@ def evidence(text: str | None, lexicon: Lexicon) -> float:
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(intercept, slope) with a ridge towards DEFAULT; the slope never falls below 0."""
-    a, b = DEFAULT
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-(a + b * x)))
-        g0, g1 = (p - y).sum() + (a - DEFAULT[0]), ((p - y) * x).sum() + (b - DEFAULT[1])
-        w = p * (1 - p)
-        h00, h01, h11 = w.sum() + 1, (w * x).sum(), (w * x * x).sum() + 1
-        d = h00 * h11 - h01 * h01
-        a, b = a - (h11 * g0 - h01 * g1) / d, b - (h00 * g1 - h01 * g0) / d
-        a, b = min(max(a, -20.0), 20.0), min(max(b, 0.0), 20.0)
-    return float(a), float(b)
+    """(intercept, slope) by damped Newton steps, with a ridge towards DEFAULT."""
+    at, goal = np.array(DEFAULT), np.array(DEFAULT)
+    rows = np.stack([np.ones_like(x), x], 1)
+
+    def loss(c: np.ndarray) -> float:
+        z = rows @ c
+        return float((np.logaddexp(0, z) - y * z).sum() + ((c - goal) ** 2).sum() / 2)
+
+    now = loss(at)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(rows @ at, -500, 500)))
+        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + np.eye(2), rows.T @ (p - y) + at - goal)
+        size = 1.0
+        while size > 1e-6 and loss(at - size * step) > now:
+            size /= 2
+        if size <= 1e-6 or now - loss(at - size * step) < 1e-9:
+            break
+        at = at - size * step
+        now = loss(at)
+    return float(at[0]), float(max(at[1], 0.0))
 
 
 def g2(t: int, n: int, toxic: int, total: int) -> float:
@@ -144,55 +160,136 @@ def g2(t: int, n: int, toxic: int, total: int) -> float:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled documents to learn from."""
+    """(text, toxic, half) of the labelled documents to learn from."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = int(min(1.0, 1.1 * SAMPLE_DOCS / max(1, known.count())) * (1 << 30))
     few = known.filter(h <= share).orderBy(h, "doc_id").limit(SAMPLE_DOCS)
-    return materialize(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic"), "toxic-sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "doc_id")
+    rows = materialize(rows.mapInArrow(_prints, "text string, toxic int, doc_id bigint, print bigint"), "toxic-rows")
+    # Copies would make every word of theirs look toxic: one document stays of those that share a print.
+    one = rows.groupBy("toxic", "print").agg(F.min("doc_id").alias("doc_id"))
+    rows = rows.join(F.broadcast(one), ["toxic", "print", "doc_id"])
+    return materialize(rows.select("text", "toxic", F.pmod(F.xxhash64("print"), F.lit(2)).cast("int").alias("half"), "doc_id"), "toxic-sample")
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least hash of a text's five-word runs: near copies mostly share it."""
+    for b in batches:
+        out = []
+        for t in b.column(0):
+            w = (t.as_py() or "").encode().translate(WORD_BYTES).split()
+            out.append(min((zlib.crc32(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))), default=0))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "print"])
+
+
+def lexicon_of(terms: list[tuple[bytes, int, int]], toxic: int, total: int) -> dict:
+    """Weights of words and beginnings from (term, toxic documents, documents); 0 for terms that clear what a shorter beginning says."""
+    base = toxic / max(1, total)
+    words, beginnings = {}, {}
+    for term, t, n in terms:
+        p = (t + base) / (n + 1)
+        held = words if term[:1] == b"=" else beginnings
+        if p >= LEAST_SHARE:
+            if t >= 3 and g2(t, n, toxic, total) >= LEAST_G2:
+                held[term[1:]] = math.log(p / (1 - p)) - math.log(base / (1 - base))
+        elif n >= 3:
+            held[term[1:]] = 0.0
+    return {"words": words, "beginnings": beginnings}
+
+
+def explained(lexicon: dict, held: list[tuple[int, list[bytes]]], toxic: int, half: int | None = None) -> dict:
+    """The lexicon without words that are only found beside stronger ones.
+
+    Terms are taken by falling count; a rarer one than COMMON of the toxic documents (or
+    MANY of them) stays only if at least NEW documents have none of those before it.
+    held: (half, terms) of each toxic document.
+    """
+    at: dict[bytes, set] = {}
+    for k, (h, terms) in enumerate(held):
+        if half is None or h == half:
+            for t in terms:
+                at.setdefault(t, set()).add(k)
+    covered: set = set()
+    out = {"words": {k: v for k, v in lexicon["words"].items() if not v}, "beginnings": {k: v for k, v in lexicon["beginnings"].items() if not v}}
+    strong = [(b"=" + k, v, "words") for k, v in lexicon["words"].items() if v] + [(b"<" + k, v, "beginnings") for k, v in lexicon["beginnings"].items() if v]
+    # Of equal counts words come before beginnings and longer before shorter.
+    for term, v, kind in sorted(strong, key=lambda r: (-len(at.get(r[0], ())), r[0][:1] == b"<", -len(r[0]), r[0])):
+        own = at.get(term, set())
+        if len(own) >= max(MANY, COMMON * toxic) or len(own - covered) >= NEW:
+            out[kind][term[1:]] = v
+            covered |= own
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    rows = sample(docs, labels)
-    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    toxic, total = sizes.get(1, 0), sum(sizes.values())
+    """The lexicon of all sampled rows; the logistic function of evidence by lexicons of the other half."""
+    rows = sample(docs, labels).select("text", "toxic", "half")
+    sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("half", "toxic").count().collect()}
+    toxic = [sizes.get((h, 1), 0) for h in (0, 1)]
+    total = [toxic[h] + sizes.get((h, 0), 0) for h in (0, 1)]
+    model = {"words": {}, "beginnings": {}, "logistic": DEFAULT}
+    if not 0 < sum(toxic) < sum(total):
+        return model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, bad = Counter(), Counter()
+        seen = {(h, y): Counter() for h in (0, 1) for y in (0, 1)}
         for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text, y, h in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 words = set((text or "").encode().translate(WORD_BYTES).split())
                 terms = {b"=" + w for w in words if len(w) <= 40}
                 for n in BEGINNINGS:
                     terms |= {b"<" + w[:n] for w in words if len(w) >= n}
-                seen.update(terms)
-                if y:
-                    bad.update(terms)
-        terms = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array([bad[t] for t in terms], pa.int64()), pa.array([seen[t] for t in terms], pa.int64())], names=["term", "t", "n"])
+                seen[h, y].update(terms)
+        for (h, y), count in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array([h] * len(count), pa.int32()), pa.array([y] * len(count), pa.int32()), pa.array(list(count.values()), pa.int64())], names=["term", "half", "toxic", "n"])
+
+    part = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("toxic") >= y), F.col("n")).otherwise(0))
+    sums = rows.mapInArrow(run, "term binary, half int, toxic int, n bigint").groupBy("term").agg(part(0, 1).alias("t0"), part(0, 0).alias("n0"), part(1, 1).alias("t1"), part(1, 0).alias("n1"))
+    sums = materialize(sums.filter(F.col("n0") + F.col("n1") >= 3), "toxic-terms")
+    base = sum(toxic) / sum(total)
+
+    def share(t, n):
+        return t + base >= LEAST_SHARE * (n + 1)
+
+    t, n = F.col("t0") + F.col("t1"), F.col("n0") + F.col("n1")
+    strong = sums.filter((t >= 3) & (share(t, n) | share(F.col("t0"), F.col("n0")) | share(F.col("t1"), F.col("n1")))).orderBy(F.desc(t), "term").limit(MAX_TERMS).collect()
+    # What extends a strong beginning without being toxic itself clears it.
+    heads = sorted({bytes(r.term[1 : 1 + BEGINNINGS[0]]) for r in strong if r.term[:1] == b"<" and g2(r.t0 + r.t1, r.n0 + r.n1, sum(toxic), sum(total)) >= LEAST_G2})
+    known = {bytes(r.term): (r.t0, r.n0, r.t1, r.n1) for r in strong}
+    if heads:
+        listed = docs.sparkSession.createDataFrame([(h,) for h in heads], "head binary")
+        near = sums.withColumn("head", F.substring("term", 2, BEGINNINGS[0])).join(F.broadcast(listed), "head").orderBy(F.desc(n), "term").limit(MAX_TERMS)
+        known |= {bytes(r.term): (r.t0, r.n0, r.t1, r.n1) for r in near.collect()}
+    lexicons = [
+        lexicon_of([(k, a, m) for k, (a, m, _, _) in known.items()], toxic[0], total[0]),
+        lexicon_of([(k, a, m) for k, (_, _, a, m) in known.items()], toxic[1], total[1]),
+        lexicon_of([(k, a + c, m + o) for k, (a, m, c, o) in known.items()], sum(toxic), sum(total)),
+    ]
+    wanted = docs.sparkSession.sparkContext.broadcast({k for lex in lexicons for k in [b"=" + w for w, v in lex["words"].items() if v] + [b"<" + w for w, v in lex["beginnings"].items() if v]})
+
+    def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms = []
+            for t in b.column(0).to_pylist():
+                words = set((t or "").encode().translate(WORD_BYTES).split())
+                terms.append(sorted(({b"=" + w for w in words} | {b"<" + w[:n] for w in words for n in BEGINNINGS if len(w) >= n}) & wanted.value))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(terms, pa.list_(pa.binary()))], names=["half", "terms"])
+
+    bad = rows.filter("toxic = 1").select("text", "half").mapInArrow(holds, "half int, terms array<binary>")
+    held = [(r[0], [bytes(t) for t in r[1]]) for r in bad.collect()]
+    lexicons = [explained(lexicons[0], held, toxic[0], 0), explained(lexicons[1], held, toxic[1], 1), explained(lexicons[2], held, sum(toxic))]
+    shared = docs.sparkSession.sparkContext.broadcast(lexicons)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other = [Lexicon(**shared.value[1]), Lexicon(**shared.value[0])]
+        for b in batches:
+            x = [evidence(text, other[h]) for text, h in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column(1)], names=["x", "y"])
 
-    sums = rows.mapInArrow(run, "term binary, t bigint, n bigint").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    base = toxic / max(1, total)
-    strong = sums.filter((F.col("t") >= 3) & (F.col("t") + base >= LEAST_SHARE * (F.col("n") + 1))).orderBy(F.desc("t"), "term").limit(MAX_TERMS).collect()
-    words, beginnings = {}, {}
-    for r in strong:
-        if g2(r.t, r.n, toxic, total) >= LEAST_G2:
-            p = (r.t + base) / (r.n + 1)
-            odds = math.log(p / (1 - p)) - math.log(base / (1 - base))
-            (words if r.term[:1] == b"=" else beginnings)[bytes(r.term[1:])] = odds
-    model = {"words": words, "beginnings": beginnings, "logistic": DEFAULT}
-    if 0 < toxic < total:
-        shared = docs.sparkSession.sparkContext.broadcast(model)
-
-        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lexicon = Lexicon(shared.value["words"], shared.value["beginnings"])
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([evidence(t.as_py(), lexicon) for t in b.column(0)], pa.float64()), b.column(1)], names=["x", "y"])
-
-        pairs = sorted((r[0], r[1]) for r in rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(found, "x double, y int").collect())
-        model["logistic"] = logistic(np.log1p([x for x, _ in pairs]), np.array([y for _, y in pairs], float))
-    return model
+    pairs = sorted((r[0], r[1]) for r in rows.mapInArrow(found, "x double, y int").collect())
+    return lexicons[2] | {"logistic": logistic(np.log1p([x for x, _ in pairs]), np.array([y for _, y in pairs], float))}
 
 
 class Scorer:
