@@ -131,8 +131,9 @@ def representatives(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(rep.alias("representative"), name.alias("member")).filter("representative is not null")
 
 
-def _binary(spark: SparkSession, path: str, record: struct.Struct, schema: str, names: list[str], skip: int) -> DataFrame:
+def _binary(spark: SparkSession, path: str, layout: str, schema: str, names: list[str], skip: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        record = struct.Struct(layout)
         for b in batches:
             for data in b["content"]:
                 body = bytes(data)[skip:]
@@ -145,13 +146,13 @@ def _binary(spark: SparkSession, path: str, record: struct.Struct, schema: str,
 def edges_binary(spark: SparkSession, path: str) -> DataFrame:
     """Binary edge files: the magic byte, then records of two 80-byte names, four 16-bit positions, distance and score."""
     names = ["id1", "id2", "from1", "to1", "from2", "to2", "dist", "score"]
-    return _binary(spark, path, struct.Struct("=80s80s4H2f"), "id1 string, id2 string, from1 int, to1 int, from2 int, to2 int, dist float, score float", names, 1)
+    return _binary(spark, path, "=80s80s4H2f", "id1 string, id2 string, from1 int, to1 int, from2 int, to2 int, dist float, score float", names, 1)
 
 
 def packed_binary(spark: SparkSession, path: str) -> DataFrame:
     """Packed hits of 100 bytes: two 38-byte names, four 16-bit positions, identity, E-value, score, PAM."""
     names = ["id1", "id2", "from1", "to1", "from2", "to2", "ident", "eval", "score", "pam"]
-    return _binary(spark, path, struct.Struct("=38s38s4H4f"), PACKED_HITS, names, 0)
+    return _binary(spark, path, "=38s38s4H4f", PACKED_HITS, names, 0)
 
 
 def is_binary(head: bytes) -> bool:
