@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests), an own one."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process (tests), an own one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir: a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="strandweave-")
         atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", named)
