@@ -6,14 +6,11 @@ from their lineage are written to the folder that ``spark.checkpoint.dir`` names
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize, shared_dir, table
+
 #: Rows that a key needs before ``skew_safe_join`` treats it as hot, and the share
 #: of all rows; together they prove that at most 1 / HOT_SHARE keys are hot.
 HOT_ROWS = 10_000
@@ -32,28 +29,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(WORD_BYTES).split() if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests), an own one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="strandweave-")
-        atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and rereads it, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def held_out(doc_id="doc_id"):
     """True where crc32 of the id as text leaves 2 modulo 4; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -77,3 +52,6 @@ def skew_safe_join(facts: DataFrame, dims: DataFrame, key: str, rows: str) -> Da
         facts.filter(F.col(key).isin(keys)).join(F.broadcast(hot), key)
         .unionByName(facts.filter(~F.col(key).isin(keys)).join(dims.filter(F.col(rows) <= least), key))
     )
+
+
+__all__ = ["WORD_BYTES", "held_out", "materialize", "shared_dir", "skew_safe_join", "table", "words_of"]

@@ -152,7 +152,8 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    return judge(docs, benchmark, docs.columns).filter(~F.col("sw_contaminated")).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("sw_row"), "text")
+    return judge(rows, benchmark, ["sw_row"]).filter(~F.col("sw_contaminated")).select("sw_row.*")
 
 
 __all__ = ["WINDOW", "Searcher", "clean", "digest", "judge", "search", "searchers"]
