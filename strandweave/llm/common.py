@@ -47,10 +47,10 @@ def skew_safe_join(facts: DataFrame, dims: DataFrame, key: str, rows: str) -> Da
     hot = dims.filter(F.col(rows) > least)
     keys = [r[0] for r in hot.select(key).collect()]
     if not keys:
-        return facts.join(dims, key)
+        return facts.hint("merge").join(dims, key)
     return (
         facts.filter(F.col(key).isin(keys)).join(F.broadcast(hot), key)
-        .unionByName(facts.filter(~F.col(key).isin(keys)).join(dims.filter(F.col(rows) <= least), key))
+        .unionByName(facts.filter(~F.col(key).isin(keys)).hint("merge").join(dims.filter(F.col(rows) <= least), key))
     )
 
 

@@ -12,12 +12,14 @@
    which is the plain Jaccard similarity where all weights are equal.
 3. BANDS bands of ROWS registers: a pair of similarity 0.8 shares one with probability
    1 - (1 - 0.8^ROWS)^BANDS > 0.99999.
-4. Links within buckets, without all pairs: in each round, each bucket that still holds
-   nodes of several classes names pivots (nodes out of its largest class, more of them
-   each round) and tests its other classes' nodes against them; a tested pivot leaves
-   the bucket.  A bucket is done when all that is left is of one class, so every pair of
-   different classes in a bucket has been tested when the loop ends: nothing is capped.
-   A test computes J from the shingle sets; a link is J >= 0.8.
+4. Links within buckets, without all pairs of a bucket.  Short signatures (a byte a
+   register) estimate J inside a bucket; pairs whose estimate is over four standard errors
+   under 0.8 are never made.  The first turn makes the maximum spanning forest of each bucket's
+   estimates; later turns, over all buckets of one largest class together, of each node outside it
+   the TOP best pairs with other classes that were not tested, by longer signatures, TOP growing by 64 times, until no bucket
+   leaves any out: nothing is capped.  A test computes J from the shingle sets; a link is
+   J >= 0.8.  Buckets of more than BLOCK nodes are worked on in blocks: a node of
+   a smaller class meets all of them.
 5. Classes are the connected components of links, by rounds of least labels.
 
 Result: one row per document: doc_id, class_id (the least doc_id of the class), node_id,
@@ -45,7 +47,18 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
-#: Words that are worked on at once in a task.
+#: Estimates that lie over four standard errors under the similarity are not tested: of
+#: the M registers (0.032 each), and of the LONG ones of later turns (0.018 each).
+FLOOR = 0.66
+LONG, LONG_FLOOR = 512, 0.72
+#: Pairs of a node in a bucket that the second turn tests; later turns 64 times the one before.
+TOP = 64
+#: Nodes of a bucket that are worked on at once.
+BLOCK = 1024
+#: Bits of the filter that finds documents by id; a megabyte.
+FILTER_BITS = 1 << 23
+FILTER_SEED = 11
+#: Bytes of text that are worked on at once in a task.
 CHUNK_BYTES = 4 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -114,10 +127,10 @@ def weights(count: np.ndarray) -> np.ndarray:
     return 1.0 + np.log(count)
 
 
-def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
-    """The M registers (shingles) of each document; 0 for documents without shingles."""
-    best = np.full(n_docs * M, np.inf)
-    who = np.zeros(n_docs * M, np.uint64)
+def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_docs: int, m: int = M) -> np.ndarray:
+    """The m registers (shingles) of each document; 0 for documents without shingles."""
+    best = np.full(n_docs * m, np.inf)
+    who = np.zeros(n_docs * m, np.uint64)
     clock, live = np.zeros(len(shingle)), np.arange(len(shingle))
     slowest = np.full(n_docs, np.inf)
     seed, past, step = mix(shingle + _GOLD), 0, 1
@@ -128,19 +141,24 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_docs:
         arrive = clock[:, None] + np.cumsum(-np.log(u), 1) / weight[live, None]
         row, col = np.nonzero(arrive < slowest[doc[live], None])
         time, element = arrive[row, col], live[row]
-        register = doc[element] * M + (mix(state[row, col] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(M)).astype(np.int64)
+        register = doc[element] * m + (mix(state[row, col] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(m)).astype(np.int64)
         np.minimum.at(best, register, time)
         won = time == best[register]
         register, element = register[won], element[won]
         who[register] = np.uint64(0xFFFFFFFFFFFFFFFF)
         np.minimum.at(who, register, shingle[element])  # of equal times, the smaller shingle
         touched = np.unique(doc[element])
-        slowest[touched] = best.reshape(n_docs, M)[touched].max(1)
+        slowest[touched] = best.reshape(n_docs, m)[touched].max(1)
         clock = arrive[:, -1]
         go = clock < slowest[doc[live]]
         live, clock, past = live[go], clock[go], past + step
         step = 1 if past < 3 else 16
-    return who.reshape(n_docs, M)
+    return who.reshape(n_docs, m)
+
+
+def bytes_of(registers: np.ndarray) -> np.ndarray:
+    """A short signature: a byte a register."""
+    return (mix(registers) & np.uint64(255)).astype(np.uint8)
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
@@ -187,7 +205,7 @@ def _pack(doc: np.ndarray, values: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split(values, np.searchsorted(doc, np.arange(1, n)))
 
 
-NODES = "doc_id bigint, node_key binary, bands array<bigint>"
+NODES = "doc_id bigint, node_key binary, bands array<bigint>, sig binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +220,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, t, k in zip(ids, texts, n.tolist(), strict=True)
             ]
             bands = [row if k else None for row, k in zip(keys, n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(exact, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node_key", "bands"])
+            short = bytes_of(sig)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids, pa.int64()), pa.array(exact, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+                pa.array([x.tobytes() if k else None for x, k in zip(short, n.tolist(), strict=True)], pa.binary()),
+            ], names=["doc_id", "node_key", "bands", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,6 +237,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([None if c is None else c.tobytes() for c in few], pa.binary())], names=["id", "s", "c"])
 
 
+def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for ids, texts in _chunks(b):
+            doc, s, count, _ = shingles(texts)
+            sig = bytes_of(signatures(doc, s, weights(count), len(texts), LONG))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["id", "sig"])
+
+
 def _test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def load(s, c):
         s = np.frombuffer(s, np.uint64)
@@ -252,85 +282,230 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarities of all rows of two sets of short signatures, corrected for equal bytes by chance."""
+    same = np.zeros((len(a), len(b)), np.float32)
+    for k in range(0, len(a), 64):  # bounded memory
+        same[k : k + 64] = (a[k : k + 64, None, :] == b[None, :, :]).mean(2, dtype=np.float32)
+    return (same - 1 / 256) / (1 - 1 / 256)
+
+
+def forest(ids: np.ndarray, est: np.ndarray) -> list[tuple[int, int]]:
+    """Maximum spanning forest of estimates from FLOOR, by Prim; ties to the smaller id."""
+    n = len(ids)
+    best, near, todo, out = np.full(n, -1.0, np.float32), np.zeros(n, np.int64), np.ones(n, bool), []
+    for _ in range(n):
+        k = int(np.where(todo, best, -2.0).argmax())
+        todo[k] = False
+        if best[k] >= FLOOR:
+            out.append((k, int(near[k])))
+        closer = todo & (est[k] > best)
+        best[closer], near[closer] = est[k][closer], k
+    return out
+
+
+def _groups(work):
+    """A function for mapInArrow over rows that are sorted by (bucket, at): calls ``work`` with whole groups.
+
+    work(columns, starts, ends) gets the columns of many groups and gives (a, b, more); a pair's smaller id is put first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(t: pa.Table, cut: np.ndarray) -> pa.RecordBatch:
+            c = {n: np.array(t.column(n)) for n in t.column_names if n != "sig"}
+            c["sig"] = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            a, b, more = work(c, cut[:-1], cut[1:])
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            return pa.RecordBatch.from_arrays([pa.array([*low.tolist(), *([None] * more)], pa.int64()), pa.array([*high.tolist(), *([None] * more)], pa.int64())], names=["a", "b"])
+
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+            bucket, at = np.array(t.column("bucket")), np.array(t.column("at"))
+            new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (at[1:] != at[:-1])) + 1
+            if len(new):  # the last group may go on in the next batch
+                yield done(t.slice(0, new[-1]), np.concatenate([[0], new]))
+                t = t.slice(new[-1])
+            rest = t
+        if rest is not None and rest.num_rows:
+            yield done(rest, np.array([0, rest.num_rows]))
+
+    return run
+
+
+def _twos(sig: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Estimates of the pairs of rows (first, first + 1)."""
+    same = (sig[first] == sig[first + 1]).mean(1, dtype=np.float32) if len(first) else np.empty(0, np.float32)
+    return (same - 1 / 256) / (1 - 1 / 256)
+
+
+def _first_pairs(c: dict, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    ids, sig = c["id"], c["sig"]
+    two = starts[ends - starts == 2]
+    two = two[_twos(sig, two) >= FLOOR]
+    a, b = [ids[two]], [ids[two + 1]]
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        if e - s > 2:
+            order = s + np.argsort(ids[s:e])
+            found = np.array(forest(ids[order], estimates(sig[order], sig[order])), np.int64).reshape(-1, 2)
+            a.append(ids[order[found[:, 0]]])
+            b.append(ids[order[found[:, 1]]])
+    return np.concatenate(a), np.concatenate(b), False
+
+
+def _more_pairs(top: int):
+    def work(c: dict, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        ids, cls, home, out, sig = c["id"], c["cls"], c["home"], c["outside"], c["sig"]
+        two = starts[ends - starts == 2]
+        two = two[(_twos(sig, two) >= LONG_FLOOR) & (cls[two] != cls[two + 1])]
+        a, b, more = [ids[two]], [ids[two + 1]], False
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            if e - s <= 2:
+                continue
+            mine, theirs = s + np.flatnonzero(out[s:e]), s + np.flatnonzero(home[s:e])
+            for k in range(0, len(mine), 256):
+                rows = mine[k : k + 256]
+                est = estimates(sig[rows], sig[theirs])
+                est[cls[rows][:, None] == cls[theirs][None, :]] = -1.0
+                for r, x in zip(rows, est, strict=True):
+                    hits = np.flatnonzero(x >= LONG_FLOOR)
+                    if len(hits) > top:
+                        more = True
+                        hits = hits[np.lexsort((ids[theirs[hits]], -x[hits]))[:top]]
+                    a.append(np.full(len(hits), ids[r]))
+                    b.append(ids[theirs[hits]])
+        return np.concatenate(a), np.concatenate(b), more
+
+    return work
+
+
+PAIRS = "a bigint, b bigint"
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, node_id, n_links of every document."""
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if _repeats(rows):
+        rows = materialize(rows.groupBy("doc_id").agg(F.min_by("text", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).alias("text")), "documents")
     signed = materialize(rows.mapInArrow(_sign, NODES), "signed")
-    if signed.groupBy("doc_id").count().filter("count > 1").take(1):  # rows that repeat an id
-        signed = materialize(signed.groupBy("doc_id").agg(F.min(F.struct("node_key", "bands")).alias("m")).select("doc_id", "m.*"), "signed")
     nodes = materialize(signed.groupBy("node_key").agg(F.min("doc_id").alias("node_id"), F.count(F.lit(1)).alias("n_docs")), "nodes")
-    bands = signed.join(nodes, signed.doc_id == nodes.node_id, "left_semi").filter(F.col("bands").isNotNull())
-    bands = bands.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    lone = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("lead")).filter("k > 1")
-    lone = materialize(lone, "buckets")
-    open_ = materialize(skew_safe_join(bands, lone, "bucket", "k"), "open")
-    links = []
-    label = None  # (id, label) of nodes that have links
-    ids = open_.select("id").distinct()
-    sets = materialize(rows.join(ids, rows.doc_id == ids.id, "left_semi").mapInArrow(_sets, "id bigint, s binary, c binary"), "sets")
-    turn = 0
-    while open_.take(1):
-        if turn == 0:
-            pairs = open_.filter("id <> lead").select("id", F.col("lead").alias("pivot"))
-            drop = None
-        else:
-            now = open_.select("id", "bucket").join(label, "id", "left").select("id", "bucket", F.coalesce("label", "id").alias("cls"))
-            size = now.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("k"))
-            whole = size.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_cls"), F.sum("k").alias("k"), F.max(F.struct("k", "cls")).alias("m"))
-            whole = materialize(whole.filter("n_cls > 1").select("bucket", "k", F.col("m.cls").alias("main")), "mixed")
-            now = materialize(skew_safe_join(now, whole, "bucket", "k"), "open")
-            slots = F.lit(4 ** (turn + 1))
-            out = now.filter("cls <> main")
-            piv = materialize(out.groupBy("bucket", F.pmod(F.xxhash64("id", F.lit(turn)), slots)).agg(F.min(F.struct("id", "cls")).alias("p"), F.first("k").alias("k")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.cls").alias("pivot_cls"), "k"), "pivots")
-            pairs = _against(now, piv)
-            drop = piv.select("bucket", F.col("pivot").alias("id"))
-            open_ = now.select("id", "bucket")
-        found = _links(materialize(pairs.distinct(), "pairs"), sets)
-        links.append(found)
-        every = links[0]
-        for x in links[1:]:
-            every = every.union(x)
-        label = components(every)
-        if turn == 0:
-            open_ = materialize(open_.filter("id <> lead").select("id", "bucket"), "open")
-        else:
-            open_ = materialize(open_.join(drop, ["bucket", "id"], "left_anti"), "open")
-        still = open_.join(label, "id", "left").groupBy("bucket").agg(F.min(F.coalesce("label", "id")).alias("x"), F.max(F.coalesce("label", "id")).alias("y"), F.count(F.lit(1)).alias("k")).filter("x <> y").select("bucket", "k")
-        open_ = materialize(skew_safe_join(open_, materialize(still, "still"), "bucket", "k").select("id", "bucket"), "open")
-        turn += 1
-    if label is None:
-        per_node = nodes.select("node_key", "node_id", F.col("node_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_docs")
-    else:
-        every = every.distinct()
-        degree = every.select("a").union(every.select("b")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_links"))
-        per_node = nodes.join(label, nodes.node_id == label.id, "left").drop("id").join(degree, nodes.node_id == degree.id, "left")
-        per_node = per_node.select("node_key", "node_id", F.coalesce("label", "node_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_docs")
+    reps = signed.join(nodes.select("node_id"), signed.doc_id == nodes.node_id, "left_semi").filter(F.col("bands").isNotNull())
+    bands = materialize(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")), "bands")
+    shared = materialize(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "buckets")
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    open_ = skew_safe_join(bands, shared, "bucket", "k").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "bucket"), blocks).cast("int"))
+    open_ = materialize(open_.drop("k"), "open")
+    sigs = materialize(signed.join(open_.select("id").distinct(), signed.doc_id == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "sig"), "sigs")
+    found = _sorted(open_.hint("merge").join(sigs, "id").select("bucket", F.col("block").alias("at"), "id", "sig")).mapInArrow(_groups(_first_pairs), PAIRS)
+    new, tested, links, label, long, now, more, top = materialize(found.distinct(), "pairs"), None, None, None, None, None, True, TOP
+    while True:
+        linked = _links(new, rows)
+        tested = new if tested is None else tested.union(new)
+        links = linked if links is None else links.union(linked)
+        if now is None or linked.take(1):
+            label = components(links)
+            now = _open_rows(open_, label)
+            if now is None:
+                break
+            ids = now.select("id").distinct()
+            if long is None:
+                long = materialize(_named(rows, ids, _long, "id bigint, sig binary"), "sigs")
+        elif not more:
+            break
+        found = _sorted(now.hint("merge").join(long, "id").select("bucket", "at", "id", "cls", "outside", "home", "sig")).mapInArrow(_groups(_more_pairs(top)), PAIRS)
+        found = materialize(found.distinct(), "found")
+        more = bool(found.filter("a is null").take(1))
+        new = materialize(found.filter("a is not null").join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not more and not new.take(1):
+            break
+        top *= 64
+    every = links.distinct()
+    degree = every.select("a").union(every.select("b")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_links"))
+    per_node = nodes.join(label, nodes.node_id == label.id, "left").drop("id").join(degree, nodes.node_id == degree.id, "left")
+    per_node = per_node.select("node_key", "node_id", F.coalesce("label", "node_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_docs")
     done = skew_safe_join(signed.select("doc_id", "node_key"), materialize(per_node, "node-classes"), "node_key", "n_docs")
     return done.select("doc_id", "class_id", "node_id", "n_links")
 
 
-def _against(now: DataFrame, piv: DataFrame) -> DataFrame:
-    """(id, pivot) of each bucket's nodes and its pivots of other classes; hot buckets meet their pivots in small lists."""
-    few = piv.groupBy("bucket").agg(F.collect_list(F.struct("pivot", "pivot_cls")).alias("ps"), F.first("k").alias("kk"))
-    met = skew_safe_join(now, few, "bucket", "kk")
-    return met.select("id", "cls", F.explode("ps").alias("p")).filter("cls <> p.pivot_cls").select("id", F.col("p.pivot").alias("pivot"))
+def _open_rows(open_: DataFrame, label: DataFrame) -> DataFrame | None:
+    """The nodes of buckets that hold several classes, those outside the largest class once for each block; None if there are none."""
+    now = open_.join(label, "id", "left").withColumn("cls", F.coalesce("label", "id")).drop("label")
+    size = now.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("k"))
+    mixed = size.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"), F.max(F.struct("k", "cls")).alias("m")).filter("n > 1")
+    mixed = materialize(mixed.select("bucket", "k", F.col("m.cls").alias("main")), "mixed")
+    if not mixed.take(1):
+        return None
+    # Buckets of one largest class are taken together: bands of a group would make the same pairs over and over.
+    now = skew_safe_join(now, mixed, "bucket", "k").select("main", "id", "cls").distinct().withColumn("outside", F.col("cls") != F.col("main"))
+    now = materialize(now, "mixed-nodes")
+    sizes = now.groupBy("main").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count_if(~F.col("outside")) / BLOCK).cast("int").alias("blocks"))
+    now = skew_safe_join(now, materialize(sizes, "sizes"), "main", "n")
+    block = F.pmod(F.xxhash64("id", "main"), F.col("blocks")).cast("int")
+    places = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
+    now = now.withColumn("at", F.explode(places)).withColumn("home", F.col("at") == block)
+    return materialize(now.select(F.col("main").alias("bucket"), "at", "id", "cls", "outside", "home"), "now")
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    """Groups of (bucket, at) whole and in a row."""
+    return rows.repartition("bucket", "at").sortWithinPartitions("bucket", "at")
+
+
+def _links(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar enough, by the shingle sets of the documents that they name.
+
+    Sets are joined by merging at every size: the larger side is never worth a broadcast,
+    and hot ids are split by the planner, as nothing above the joins needs a key whole.
+    """
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = materialize(_named(rows, ids, _sets, "id bigint, s binary, c binary"), "sets")
+    mine = pairs.hint("merge").join(sets, pairs.a == sets.id).drop("id")
+    theirs = sets.select(F.col("id").alias("b"), F.col("s").alias("ps"), F.col("c").alias("pc"))
+    full = mine.hint("merge").join(theirs, "b").select("a", "b", "s", "c", "ps", "pc")
+    return materialize(full.mapInArrow(_test, PAIRS), "links")
+
+
+def _named(rows: DataFrame, ids: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` over the documents with the ids, without a shuffle of texts.
+
+    The ids go into a Bloom filter of FILTER_BITS bits, two of them an id, which is what is
+    broadcast at any size; documents that it lets through by chance give rows that no later
+    join asks for.  A filter that is full costs work, not results.
+    """
+    spark = rows.sparkSession
+    h = F.xxhash64("id", F.lit(FILTER_SEED))
+    places = F.array(F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftright(h, 32), F.lit(FILTER_BITS)))
+    bits = ids.select(F.explode(places).alias("p")).groupBy(F.floor(F.col("p") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("v"))
+    words = np.zeros(FILTER_BITS // 32, np.uint32)
+    for w, v in bits.collect():
+        words[w] = v
+    shared = spark.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def few() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                p = [np.array(b.column(k), np.int64) for k in (2, 3)]
+                inside = np.logical_and(*[(shared.value[x >> 5] >> (x & 31).astype(np.uint32)) & 1 for x in p])
+                if inside.any():
+                    yield b.filter(pa.array(inside, pa.bool_())).select([0, 1])
+
+        yield from work(few())
+
+    h = F.xxhash64("doc_id", F.lit(FILTER_SEED))
+    return rows.select("doc_id", "text", F.pmod(h, F.lit(FILTER_BITS)).alias("p1"), F.pmod(F.shiftright(h, 32), F.lit(FILTER_BITS)).alias("p2")).mapInArrow(run, schema)
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar enough."""
-    pivots = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("uses"))
-    p_sets = materialize(pivots.join(sets, pivots.pivot == sets.id).select("pivot", "uses", F.col("s").alias("ps"), F.col("c").alias("pc")), "pivot-sets")
-    mine = pairs.join(sets, "id")
-    full = skew_safe_join(mine, p_sets, "pivot", "uses")
-    tested = full.select("id", "pivot", "s", "c", "ps", "pc").mapInArrow(_test, "a bigint, b bigint")
-    return materialize(tested, "links")
+def _repeats(docs: DataFrame) -> bool:
+    return bool(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").take(1))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one document of each class: the one that names it; of rows that repeat an id, one stays."""
     gone = materialize(classes(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("sw_gone")), "gone")
     left = docs.join(gone, docs.doc_id == gone.sw_gone, "left_anti")
-    if docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").take(1):
-        known = left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-        left = known.unionByName(left.filter(F.col("doc_id").isNull()))
+    if _repeats(docs):
+        crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+        known = left.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("sw_id")).agg(F.min_by(F.struct("*"), crc).alias("sw_row"))
+        left = known.select("sw_row.*").unionByName(left.filter(F.col("doc_id").isNull()))
     return left
