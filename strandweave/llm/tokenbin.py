@@ -12,8 +12,7 @@ Segments ascend by doc_id over (part, seg).  A segment ends at SEGMENT_BYTES or
 SEGMENT_DOCS.  Global starts come from a running sum over the parts (as many as
 shuffle partitions at most), ``before``, and a running sum in the segment.
 
-Words are encoded once each and kept (up to MAX_WORDS in a task): the tokenizer's
-splitting never joins across spaces, tabs or line feeds.
+Pieces of texts are encoded once and kept, see ``Encoder``.
 
 Defined results: a null text is an empty one and holds only the end id; null ids come
 first; rows that repeat an id follow each other by checksum of their text; an empty
@@ -23,9 +22,14 @@ table writes no segments.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -37,45 +41,85 @@ from .common import shared_dir
 END_ID = 1
 SEGMENT_BYTES = 4 << 20
 SEGMENT_DOCS = 2048
-MAX_WORDS = 400_000
+MAX_WORDS = 600_000
 #: Bound of the sample that the dictionary is trained on, and the dictionary's size.
 SAMPLE_DOCS = 2_000
 SAMPLE_BYTES = 32 << 10
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 
+_BEFORE_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+_LATIN = "\u0250"
+_END = END_ID.to_bytes(4, "little")
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+_ENCODERS: dict[str, Encoder] = {}
+
 SEGMENT = "part int, seg int, dict_sha256 string, doc_ids array<bigint>, offsets array<int>, counts array<int>, before bigint, n_ids bigint, payload binary"
 READ = "doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint, ids array<bigint>"
 
 
 class Encoder:
-    """Ids of whole texts, by words that are kept between calls."""
+    """Serialized ids of whole texts, by pieces that are kept between calls.
+
+    Texts are cut at spaces, tabs and line feeds, and before a full stop or comma that
+    stands between an ASCII letter and white space; the tokenizer cuts there too, so a
+    text's ids are its pieces' ids.  ASCII letters are lowered first, as the tokenizer
+    does, unless the text could hold a special token.  Pieces are kept in two generations
+    of MAX_WORDS at most; the older one is dropped as the younger is full.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": np.empty(0, np.uint32)}
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > MAX_WORDS:
-            known.clear()
-            known[""] = np.empty(0, np.uint32)
-            new = list({w for ws in split for w in ws if w})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32)
-        end = np.array([END_ID], np.uint32)
-        return [np.concatenate([*map(known.__getitem__, ws), end]) for ws in split]
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # Lower-case Latin letters in composed form pass normalizing and splitting as they are.
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    @staticmethod
+    def pieces(text: str | None) -> list[str]:
+        if not text:
+            return []
+        if "<|" not in text:
+            text = _BEFORE_MARK.sub(rb" \1", text.encode().lower()).decode()
+        return text.replace("\n", " ").replace("\t", " ").split(" ")
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [self.pieces(t) for t in texts]
+        if len(self.young) > MAX_WORDS:
+            self.young, self.old = {"": b""}, self.young
+        young, old, new = self.young, self.old, []
+        for w in set().union(*split).difference(young):
+            kept = old.get(w)
+            if kept is None:
+                new.append(w)
+            else:
+                young[w] = kept
+        plain = [w for w in new if w.isalpha() and (w.islower() if w.isascii() else max(w) < _LATIN and w == w.lower() and is_normalized("NFC", w))]
+        for tokenizer, words in ((self.letters, plain), (self.tokenizer, list(set(new).difference(plain)))):
+            for i in range(0, len(words), 2048):
+                part = words[i : i + 2048]
+                for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    young[w] = array("I", e.ids).tobytes() if _LITTLE else np.array(e.ids, "<u4").tobytes()
+        return [b"".join(map(young.__getitem__, ws)) + _END for ws in split]
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder: a worker that runs more tasks keeps its pieces."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def train(sample: list[bytes]) -> bytes:
     """A dictionary for serialized ids; where samples are too few to train one, their bytes."""
     import zstandard
 
+    if not sample:
+        return b""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -84,10 +128,9 @@ def train(sample: list[bytes]) -> bytes:
 
 def _sample(slim: DataFrame) -> list[str]:
     """Texts with the least hashes of doc_id, whatever the files: SAMPLE_DOCS at most, of SAMPLE_BYTES at most each."""
-    few = slim.filter(F.octet_length("text") <= SAMPLE_BYTES)
-    share = min(1.0, 2 * SAMPLE_DOCS / max(1, few.count()))
+    share = min(1.0, 2 * SAMPLE_DOCS / max(1, slim.count()))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    rows = few.filter(h <= int(share * (1 << 30))).orderBy(h, F.crc32(F.col("text").cast("binary"))).select("text").limit(SAMPLE_DOCS)
+    rows = slim.filter((h <= int(share * (1 << 30))) & (F.octet_length("text") <= SAMPLE_BYTES)).orderBy(h, F.crc32(F.col("text").cast("binary"))).select("text").limit(SAMPLE_DOCS)
     return [r[0] for r in rows.collect()]
 
 
@@ -97,7 +140,7 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
 
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    data = train([a.astype("<u4").tobytes() for a in Encoder(tokenizer)(_sample(slim))])
+    data = train(encoder(tokenizer)(_sample(slim)))
     sha = hashlib.sha256(data).hexdigest()
     spark.createDataFrame([(sha, data)], "sha256 string, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(data)
@@ -105,7 +148,7 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, seg, before = Encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encode, part, seg, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value), write_checksum=False)
         ids, offsets, counts, payload = [], [0], [], bytearray()
 
@@ -117,10 +160,10 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
             for k in range(0, b.num_rows, 256):
                 few = b.slice(k, 256)
                 for doc, a in zip(few.column(0).to_pylist(), encode(few.column(1).to_pylist()), strict=True):
-                    payload += press.compress(a.astype("<u4").tobytes())
+                    payload += press.compress(a)
                     ids.append(doc)
                     offsets.append(len(payload))
-                    counts.append(len(a))
+                    counts.append(len(a) // 4)
                     if len(payload) >= SEGMENT_BYTES or len(ids) >= SEGMENT_DOCS:
                         yield segment()
                         seg, before = seg + 1, before + sum(counts)
