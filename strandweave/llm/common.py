@@ -6,7 +6,7 @@ from their lineage are written to the folder that ``spark.checkpoint.dir`` names
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize, shared_dir, table
@@ -15,6 +15,7 @@ from ..storage import materialize, shared_dir, table
 #: of all rows; together they prove that at most 1 / HOT_SHARE keys are hot.
 HOT_ROWS = 10_000
 HOT_SHARE = 1 / 500
+BATCH_ROWS = 1_000
 
 #: Byte table: A-Z to a-z, every other byte that no word holds to a space.  Bytes
 #: from 0x80 belong to words, so UTF-8 sequences stay whole.
@@ -29,6 +30,13 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(WORD_BYTES).split() if text else []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of BATCH_ROWS at most, as two directions of two tasks hold batches off the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def held_out(doc_id="doc_id"):
     """True where crc32 of the id as text leaves 2 modulo 4; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -54,4 +62,4 @@ def skew_safe_join(facts: DataFrame, dims: DataFrame, key: str, rows: str) -> Da
     )
 
 
-__all__ = ["WORD_BYTES", "held_out", "materialize", "shared_dir", "skew_safe_join", "table", "words_of"]
+__all__ = ["WORD_BYTES", "held_out", "materialize", "shared_dir", "skew_safe_join", "small_batches", "table", "words_of"]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import materialize, small_batches, words_of
 
 WINDOW = 13
 MAX_BLOCK_BYTES = 16 << 20
@@ -108,12 +108,14 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple]]:
     yield block
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """The columns ``keep`` of docs (doc_id), and sw_words, sw_hit, sw_items (ids), sw_contaminated of each document."""
+def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, max_block_bytes: int = MAX_BLOCK_BYTES, tag: str = "sw") -> DataFrame:
+    """The columns ``keep`` of docs (doc_id), and sw_words, sw_hit, sw_items (ids), sw_contaminated of each document (``tag`` for sw)."""
     spark = docs.sparkSession
+    small_batches(spark)
     keep = keep or ["doc_id"]
+    c_words, c_hits, c_items = f"{tag}_words", f"{tag}_hits", f"{tag}_items"
     state = docs.select(*dict.fromkeys([*keep, "text"])).withColumns({
-        "sw_words": F.lit(0).cast("long"), "sw_hits": F.array().cast("array<int>"), "sw_items": F.array().cast("array<string>")})
+        c_words: F.lit(0).cast("long"), c_hits: F.array().cast("array<int>"), c_items: F.array().cast("array<string>")})
     blocks = _blocks(benchmark, max_block_bytes)
     block = next(blocks)
     while block is not None:
@@ -124,14 +126,14 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
             tables = searchers(shared.value)
             for b in batches:
                 names = b.schema.names
-                text, words, hits, items = (b.column(names.index(c)) for c in ("text", "sw_words", "sw_hits", "sw_items"))
+                text, _, hits, items = (b.column(names.index(c)) for c in ("text", c_words, c_hits, c_items))
                 out = [[], [], []]
                 for t, h, i in zip(text, hits.to_pylist(), items.to_pylist(), strict=True):
                     n, hit, found = search(t.as_py(), tables)
                     out[0].append(n)
                     out[1].append(sorted({*h, *hit.tolist()}) if h else hit.tolist())
                     out[2].append(sorted({*i, *map(str, found)}))
-                new = dict(zip(("sw_words", "sw_hits", "sw_items"), out, strict=True))
+                new = dict(zip((c_words, c_hits, c_items), out, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(new[n], b.schema.field(n).type) if n in new else b.column(k) for k, n in enumerate(names)], schema=b.schema)
 
@@ -139,8 +141,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
         if following is not None:
             state = materialize(state, "decontam")
         block = following
-    n, h = F.col("sw_words"), F.size("sw_hits").cast("long")
-    return state.select(*keep, "sw_words", h.alias("sw_hit"), "sw_items", ((h > 0) & (20 * h >= n)).alias("sw_contaminated"))
+    n, h = F.col(c_words), F.size(c_hits).cast("long")
+    return state.select(*keep, c_words, h.alias(f"{tag}_hit"), c_items, ((h > 0) & (20 * h >= n)).alias(f"{tag}_contaminated"))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -152,8 +154,10 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    rows = docs.select(F.struct("*").alias("sw_row"), "text")
-    return judge(rows, benchmark, ["sw_row"]).filter(~F.col("sw_contaminated")).select("sw_row.*")
+    tag = "sw"
+    while any(c.lower().startswith(tag) for c in docs.columns):
+        tag += "_"
+    return judge(docs, benchmark, docs.columns, tag=tag).filter(~F.col(f"{tag}_contaminated")).select(*docs.columns)
 
 
 __all__ = ["WINDOW", "Searcher", "clean", "digest", "judge", "search", "searchers"]

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, materialize, skew_safe_join
+from .common import WORD_BYTES, materialize, skew_safe_join, small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -59,7 +59,7 @@ BLOCK = 1024
 FILTER_BITS = 1 << 23
 FILTER_SEED = 11
 #: Bytes of text that are worked on at once in a task.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.frombuffer(hashlib.shake_128(b"shingle bytes").digest(256 * 8), "<u8")
@@ -189,14 +189,17 @@ def similarity(a: np.ndarray, u: np.ndarray, b: np.ndarray, v: np.ndarray) -> fl
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
+    """(ids, texts) in small parts, so that a batch's texts are never all Python strings."""
     ids, texts, held = [], [], 0
-    for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        ids.append(i)
-        texts.append(t)
-        held += len(t or "")
-        if held >= CHUNK_BYTES or len(ids) >= 1 << 15:
-            yield ids, texts
-            ids, texts, held = [], [], 0
+    for k in range(0, batch.num_rows, 64):
+        few = batch.slice(k, 64)
+        for i, t in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True):
+            ids.append(i)
+            texts.append(t)
+            held += len(t or "")
+            if held >= CHUNK_BYTES or len(ids) >= 1 << 15:
+                yield ids, texts
+                ids, texts, held = [], [], 0
     if ids:
         yield ids, texts
 
@@ -385,6 +388,7 @@ PAIRS = "a bigint, b bigint"
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, node_id, n_links of every document."""
+    small_batches(docs.sparkSession)
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if _repeats(rows):
         rows = materialize(rows.groupBy("doc_id").agg(F.min_by("text", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).alias("text")), "documents")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, held_out, materialize
+from .common import WORD_BYTES, held_out, materialize, small_batches
 
 # Words of the grammar's classes.
 INSULTS = "arschloch bastard cabrón clown connard crétin depp disgusting dummkopf estúpido filth idiot idiota idiote idioten imbécile imbécil loser losers moron morons pathetic salaud scum stupid trash trottel vermin worthless".split()
@@ -61,7 +61,7 @@ MAX_TERMS = 50_000
 COMMON, MANY, NEW = 0.01, 25, 2
 DEFAULT = (-3.0, 3.0)
 THRESHOLD = 0.3
-MAX_WORDS = 300_000
+MAX_WORDS = 100_000
 
 #: As WORD_BYTES, but clause ends become line feeds.
 CLAUSE_BYTES = bytes(0x0A if b in b".!?;:\n\r" else WORD_BYTES[b] for b in range(256))
@@ -225,6 +225,7 @@ def explained(lexicon: dict, held: list[tuple[int, list[bytes]]], toxic: int, ha
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The lexicon of all sampled rows; the logistic function of evidence by lexicons of the other half."""
+    small_batches(docs.sparkSession)
     rows = sample(docs, labels).select("text", "toxic", "half")
     sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("half", "toxic").count().collect()}
     toxic = [sizes.get((h, 1), 0) for h in (0, 1)]
