@@ -38,14 +38,23 @@ def runs(documents: DataFrame) -> DataFrame:
     return listed.select(F.col("doc_id").alias("gene"), F.explode(every).alias("r")).groupBy("gene", "r.h1", "r.h2").agg(F.min("r.pos").alias("pos"), F.max("r.pos").alias("last"))
 
 
-def hits(documents: DataFrame) -> DataFrame:
-    """id1, id2, from1, to1, from2, to2, score with id1 < id2."""
+def hits(documents: DataFrame, most: int | None = MOST) -> DataFrame:
+    """id1, id2, from1, to1, from2, to2, score with id1 < id2.
+
+    Runs that more than ``most`` documents hold give no match, as in the queries' SQL; None takes
+    all runs, whose pairs grow with the square of a run's documents.
+    """
     found = runs(documents).select("gene", "h1", "h2", "pos")
-    # Frequent runs go before any gathering: no group below has more than MOST rows.
-    fit = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(FEWEST, MOST)).select("h1", "h2")
-    lists = found.join(fit, ["h1", "h2"]).groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("gene", "pos"))).alias("at"))
-    firsts = lists.select("at", F.posexplode("at").alias("k", "a"))
-    pairs = firsts.select("a", F.explode(F.slice("at", F.col("k") + 2, F.size("at"))).alias("b"))
+    if most is None:
+        # Joined as rows, so that no row holds all documents of a run.
+        a, b = (found.select("h1", "h2", F.struct("gene", "pos").alias(n)) for n in "ab")
+        pairs = a.hint("merge").join(b, ["h1", "h2"]).filter(F.col("a.gene") < F.col("b.gene"))
+    else:
+        # Frequent runs go before any gathering: no group below has more than ``most`` rows.
+        fit = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(FEWEST, most)).select("h1", "h2")
+        lists = found.join(fit, ["h1", "h2"]).groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("gene", "pos"))).alias("at"))
+        firsts = lists.select("at", F.posexplode("at").alias("k", "a"))
+        pairs = firsts.select("a", F.explode(F.slice("at", F.col("k") + 2, F.size("at"))).alias("b"))
     return pairs.groupBy(F.col("a.gene").alias("id1"), F.col("b.gene").alias("id2")).agg(
         F.min("a.pos").alias("from1"), (F.max("a.pos") + RUN - 1).alias("to1"), F.min("b.pos").alias("from2"), (F.max("b.pos") + RUN - 1).alias("to2"),
         F.count(F.lit(1)).cast("int").alias("score"),
