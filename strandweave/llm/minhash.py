@@ -18,8 +18,8 @@
    estimates; later turns, over all buckets of one largest class together, of each node outside it
    the TOP best pairs with other classes that were not tested, by longer signatures, TOP growing by 64 times, until no bucket
    leaves any out: nothing is capped.  A test computes J from the shingle sets; a link is
-   J >= 0.8.  Buckets of more than BLOCK nodes are worked on in blocks: a node of
-   a smaller class meets all of them.
+   J >= 0.8.  Buckets of more than BLOCK nodes are worked on in blocks: in later
+   turns a block of the nodes of smaller classes meets a block of all nodes in a group of its own.
 5. Classes are the connected components of links, by rounds of least labels.
 
 Result: one row per document: doc_id, class_id (the least doc_id of the class), node_id,
@@ -433,7 +433,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def _open_rows(open_: DataFrame, label: DataFrame) -> DataFrame | None:
-    """The nodes of buckets that hold several classes, those outside the largest class once for each block; None if there are none."""
+    """The nodes of buckets that hold several classes, in a grid of blocks; None if there are none.
+
+    At each place (bucket, at) the rows marked ``outside`` are held against those marked ``home``: every node
+    outside the largest class meets every node of its bucket at one place.
+    """
     now = open_.join(label, "id", "left").withColumn("cls", F.coalesce("label", "id")).drop("label")
     size = now.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("k"))
     mixed = size.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"), F.max(F.struct("k", "cls")).alias("m")).filter("n > 1")
@@ -443,11 +447,16 @@ def _open_rows(open_: DataFrame, label: DataFrame) -> DataFrame | None:
     # Buckets of one largest class are taken together: bands of a group would make the same pairs over and over.
     now = skew_safe_join(now, mixed, "bucket", "k").select("main", "id", "cls").distinct().withColumn("outside", F.col("cls") != F.col("main"))
     now = materialize(now, "mixed-nodes")
-    sizes = now.groupBy("main").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count_if(~F.col("outside")) / BLOCK).cast("int").alias("blocks"))
+    of = lambda k: F.greatest(F.lit(1), F.ceil(k / BLOCK)).cast("int")
+    sizes = now.groupBy("main").agg(F.count(F.lit(1)).alias("n"), of(F.count(F.lit(1))).alias("blocks"), of(F.count_if("outside")).alias("lines"))
     now = skew_safe_join(now, materialize(sizes, "sizes"), "main", "n")
-    block = F.pmod(F.xxhash64("id", "main"), F.col("blocks")).cast("int")
-    places = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
-    now = now.withColumn("at", F.explode(places)).withColumn("home", F.col("at") == block)
+    # A grid: an outside node is held against all nodes, a block of the one against a block of the other at a place.
+    block, line = (F.pmod(F.xxhash64("id", "main", F.lit(k)), F.col(c)).cast("int") for k, c in enumerate(("blocks", "lines")))
+    now = now.withColumn("block", block).withColumn("line", line)
+    column = F.transform(F.sequence(F.lit(0), F.col("lines") - 1), lambda k: k * F.col("blocks") + F.col("block"))
+    row = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.col("line") * F.col("blocks") + k)
+    now = now.withColumn("at", F.explode(F.when(F.col("outside"), F.array_union(column, row)).otherwise(column)))
+    now = now.withColumn("outside", F.col("outside") & (F.floor(F.col("at") / F.col("blocks")) == F.col("line"))).withColumn("home", F.col("at") % F.col("blocks") == F.col("block"))
     return materialize(now.select(F.col("main").alias("bucket"), "at", "id", "cls", "outside", "home"), "now")
 
 
