@@ -27,8 +27,9 @@ n_links (tested links of its node to other nodes).
 
 Defined results: null texts are alone in a class of their own; texts without words equal
 only the same text; texts of one to four words have one shingle, all their words; rows
-that repeat an id are one document, of its first text by checksum; an empty table gives
-no rows; a null id has no row in the result; other columns play no part.
+that repeat an id and its text are one document; each further text of an id, by hash, is a
+document of its own, and names a class by a number from 2^62 if no first text is in it; an
+empty table gives no rows; a null id has no row in the result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -58,6 +59,8 @@ BLOCK = 1024
 #: Bits of the filter that finds documents by id; a megabyte.
 FILTER_BITS = 1 << 23
 FILTER_SEED = 11
+#: From here on are the keys of further texts of an id.
+FURTHER = 1 << 62
 #: Bytes of text that are worked on at once in a task.
 CHUNK_BYTES = 1 << 20
 
@@ -387,11 +390,31 @@ PAIRS = "a bigint, b bigint"
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, node_id, n_links of every document."""
-    small_batches(docs.sparkSession)
+    """doc_id, class_id, node_id, n_links of every document; of an id with several texts, a row for each."""
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if _repeats(rows):
-        rows = materialize(rows.groupBy("doc_id").agg(F.min_by("text", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).alias("text")), "documents")
+    if not _repeats(rows):
+        return _classes(rows)
+    keyed = _keyed(rows).groupBy("sw_key").agg(F.min("sw_row.doc_id").alias("own"), F.min("sw_row.text").alias("text"))
+    keyed = materialize(keyed, "documents")
+    done = _classes(keyed.select(F.col("sw_key").alias("doc_id"), "text"))
+    own = keyed.select("sw_key", "own")
+    return done.hint("merge").join(own, done.doc_id == own.sw_key).select(F.col("own").alias("doc_id"), "class_id", "node_id", "n_links")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """sw_row (all columns) and sw_key of the rows with an id: the id with its first text by hash, a number from FURTHER with others."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.struct("*").alias("sw_row"), F.col("doc_id").cast("long").alias("sw_id"), text.alias("sw_text"))
+    # The first text of an id that has several; ids with one text are their own keys.
+    many = rows.groupBy(F.col("sw_id").alias("sw_many")).agg(F.min("sw_text").alias("sw_first"), F.max("sw_text").alias("sw_last")).filter("sw_first <> sw_last")
+    further = F.xxhash64("sw_id", "sw_text").bitwiseAND(F.lit(FURTHER - 1)).bitwiseOR(F.lit(FURTHER))
+    key = F.when(F.col("sw_first") != F.col("sw_text"), further).otherwise(F.col("sw_id"))
+    return rows.hint("merge").join(many, rows.sw_id == many.sw_many, "left").select("sw_row", key.alias("sw_key"))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """doc_id, class_id, node_id, n_links of rows with unique ids (doc_id, text)."""
+    small_batches(rows.sparkSession)
     signed = materialize(rows.mapInArrow(_sign, NODES), "signed")
     nodes = materialize(signed.groupBy("node_key").agg(F.min("doc_id").alias("node_id"), F.count(F.lit(1)).alias("n_docs")), "nodes")
     reps = signed.join(nodes.select("node_id"), signed.doc_id == nodes.node_id, "left_semi").filter(F.col("bands").isNotNull())
@@ -514,11 +537,12 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: the one that names it; of rows that repeat an id, one stays."""
-    gone = materialize(classes(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("sw_gone")), "gone")
-    left = docs.join(gone, docs.doc_id == gone.sw_gone, "left_anti")
-    if _repeats(docs):
-        crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-        known = left.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("sw_id")).agg(F.min_by(F.struct("*"), crc).alias("sw_row"))
-        left = known.select("sw_row.*").unionByName(left.filter(F.col("doc_id").isNull()))
-    return left
+    """docs with one document of each class: the one that names it; of rows that repeat an id and its text, one stays."""
+    if not _repeats(docs):
+        gone = materialize(classes(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("sw_gone")), "gone")
+        return docs.join(gone, docs.doc_id == gone.sw_gone, "left_anti")
+    known = materialize(_keyed(docs).groupBy("sw_key").agg(F.min_by("sw_row", "sw_row.doc_id").alias("sw_row")), "documents")
+    done = _classes(known.select(F.col("sw_key").alias("doc_id"), F.col("sw_row.text").alias("text")))
+    gone = materialize(done.filter("doc_id <> class_id").select(F.col("doc_id").alias("sw_gone")), "gone")
+    left = known.join(gone, known.sw_key == gone.sw_gone, "left_anti")
+    return left.select("sw_row.*").unionByName(docs.filter(F.col("doc_id").isNull()))

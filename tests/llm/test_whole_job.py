@@ -15,3 +15,16 @@ def test_blocks_of_unlinked_nodes(spark, monkeypatch):
     assert max(map(len, groups.values())) <= 5 * 16
     met = sorted((x.id, y.id) for g in groups.values() for x in g if x.outside for y in g if y.home)
     assert met == sorted((x, y) for x in range(n) if x not in (3, 4) for y in range(n))
+
+
+def test_texts_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    data = [(1, a), (1, b), (1, b), (2, b + " end"), (3, c), (None, c), (4, None), (4, "")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    got = [tuple(r) for r in minhash.classes(docs).select("doc_id", "class_id").collect()]
+    # Every text of an id has a row; the copies b and b + " end" are one class, a is not in it.
+    assert sorted(i for i, _ in got) == [1, 1, 2, 3, 4, 4] and len({k for _, k in got}) == 5
+    assert {k for i, k in got if i == 2} < {k for i, k in got if i == 1}
+    kept = [tuple(r) for r in minhash.deduplicate(docs).collect()]
+    texts = [t for _, t in kept]
+    assert len(kept) == 6 and {a, c, None, ""} <= set(texts) and texts.count(c) == 2 and (b in texts) != (b + " end" in texts)
