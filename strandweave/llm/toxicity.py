@@ -1,6 +1,6 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A text is cut into clauses at . ! ? ; : and line ends.  A first transducer rewrites words
+A text is cut into clauses at . ! ? ; : and line ends; a contracted n't is the word not.  A first transducer rewrites words
 to weighted symbols: insult, threat, target, negation, report or other.  The others read
 symbols from left to right, each with a state of its own, and pass on changed weights:
   * negation: an insult or threat within NEAR symbols after a negation keeps NEGATED of its weight;
@@ -30,6 +30,7 @@ are judged each; an empty table gives no rows; other columns play no part.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -66,6 +67,9 @@ MAX_WORDS = 100_000
 #: As WORD_BYTES, but clause ends become line feeds.
 CLAUSE_BYTES = bytes(0x0A if b in b".!?;:\n\r" else WORD_BYTES[b] for b in range(256))
 
+#: The contracted negation, with either apostrophe; read as the word "not".
+CONTRACTED = re.compile(rb"n(?:'|\xe2\x80\x99)t(?![0-9a-z\x80-\xff])", re.IGNORECASE)
+
 
 class Lexicon(dict):
     """Word to (class, weight), or None; learned words and beginnings before fixed ones."""
@@ -115,7 +119,10 @@ def evidence(text: str | None, lexicon: Lexicon) -> float:
     if not text:
         return 0.0
     total, get = 0.0, lexicon.__getitem__
-    for clause in text.encode().translate(CLAUSE_BYTES).split(b"\n"):
+    raw = text.encode()
+    if b"'" in raw or b"\xe2\x80\x99" in raw:
+        raw = CONTRACTED.sub(b" not", raw)
+    for clause in raw.translate(CLAUSE_BYTES).split(b"\n"):
         found = list(map(get, clause.split()))
         if any(found):
             symbols = [(i, *s) for i, s in enumerate(found) if s]

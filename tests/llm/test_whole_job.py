@@ -1,6 +1,8 @@
 """Results at the borders where operators could do less than the whole job."""
 
-from strandweave.llm import minhash
+import pytest
+
+from strandweave.llm import minhash, toxicity
 
 
 def test_blocks_of_unlinked_nodes(spark, monkeypatch):
@@ -28,3 +30,11 @@ def test_texts_that_share_an_id(spark):
     kept = [tuple(r) for r in minhash.deduplicate(docs).collect()]
     texts = [t for _, t in kept]
     assert len(kept) == 6 and {a, c, None, ""} <= set(texts) and texts.count(c) == 2 and (b in texts) != (b + " end" in texts)
+
+
+def test_contracted_negations():
+    lex = toxicity.Lexicon({}, {})
+    plain = toxicity.FIXED_WEIGHT * toxicity.NEGATED
+    for text in ("you are not an idiot", "you aren't an idiot", "You AREN’T an idiot", "you don't look an idiot"):
+        assert toxicity.evidence(text, lex) == pytest.approx(plain)
+    assert toxicity.evidence("you can'tx idiot", lex) == toxicity.evidence("you idiot", lex)
