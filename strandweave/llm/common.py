@@ -6,6 +6,9 @@ from their lineage are written to the folder that ``spark.checkpoint.dir`` names
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,9 @@ from ..storage import materialize, shared_dir, table
 #: of all rows; together they prove that at most 1 / HOT_SHARE keys are hot.
 HOT_ROWS = 10_000
 HOT_SHARE = 1 / 500
-BATCH_ROWS = 1_000
+
+#: Bytes of a batch of rows on its way to Python: two tasks hold batches off the heap in both directions.
+BATCH_BYTES = 1 << 20
 
 #: Byte table: A-Z to a-z, every other byte that no word holds to a space.  Bytes
 #: from 0x80 belong to words, so UTF-8 sequences stay whole.
@@ -30,11 +35,25 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(WORD_BYTES).split() if text else []
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python in batches of BATCH_ROWS at most, as two directions of two tasks hold batches off the heap."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+@contextmanager
+def text_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """What runs within sends rows to Python in batches of ``most`` bytes at most (one row at least); the caller's setting holds again after it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def python_table(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` of a frame that Python works on, in batches of bounded bytes."""
+    with text_batches(df.sparkSession):
+        return materialize(df, name)
 
 
 def held_out(doc_id="doc_id"):
@@ -62,4 +81,4 @@ def skew_safe_join(facts: DataFrame, dims: DataFrame, key: str, rows: str) -> Da
     )
 
 
-__all__ = ["WORD_BYTES", "held_out", "materialize", "shared_dir", "skew_safe_join", "small_batches", "table", "words_of"]
+__all__ = ["WORD_BYTES", "held_out", "materialize", "python_table", "shared_dir", "skew_safe_join", "table", "text_batches", "words_of"]

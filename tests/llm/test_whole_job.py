@@ -2,7 +2,7 @@
 
 import pytest
 
-from strandweave.llm import minhash, toxicity
+from strandweave.llm import minhash, topk, toxicity
 
 
 def test_blocks_of_unlinked_nodes(spark, monkeypatch):
@@ -38,3 +38,36 @@ def test_contracted_negations():
     for text in ("you are not an idiot", "you aren't an idiot", "You AREN’T an idiot", "you don't look an idiot"):
         assert toxicity.evidence(text, lex) == pytest.approx(plain)
     assert toxicity.evidence("you can'tx idiot", lex) == toxicity.evidence("you idiot", lex)
+
+
+def brute_top(data, k=20):
+    """Exact top-k in Python integers; (query_id, score, vec_id) of each query row, ranked."""
+    import math
+
+    ints = [(i, [math.floor(x * 64) if abs(x) < 2**53 else int(x) * 64 for x in v]) for i, v in data]
+    out = []
+    for n, (q, v) in enumerate(ints):
+        if q % 20 == 0:
+            s = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), c) for m, (c, w) in enumerate(ints) if m != n)[:k]
+            out += [(q, r, c, max(-(2**63), min(2**63 - 1, -x))) for r, (x, c) in enumerate(s, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [1.0, 2.0**25, 2.0**29, 1e30, 1e300, 1.7e308])
+def test_topk_is_exact_at_every_size(spark, monkeypatch, size):
+    import random
+
+    rnd = random.Random(3)
+    monkeypatch.setattr(topk, "SHARD_ROWS", 30)  # several shards
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    data = [(i, [rnd.choice((-1, 1)) * size + rnd.randrange(-3, 4) / 64 for _ in range(3)]) for i in range(100)]
+    data += [(20, data[20][1]), (20, data[20][1]), (41, data[40][1]), (60, [size, size + 1 / 64, 0.0])]  # repeated ids, rows and ties
+    frame = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    assert sorted(map(tuple, topk.divisible(frame).collect())) == brute_top(data)
+
+
+def test_topk_takes_no_settings(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    topk.divisible(spark.createDataFrame([(20, [1.0]), (1, [1.0])], "vec_id bigint, embedding array<double>"))
+    assert spark.conf.get(name, None) == before
