@@ -171,5 +171,46 @@ y AS (SELECT page_id, host, path, {fit} AS rule, mean, lower FROM p JOIN z USING
 SELECT page_id, host, path, rule, {says} AS verdict, round(mean, 6) AS bad_mean, round(lower, 6) AS bad_lower FROM y"""
 
 
+def _crc_table() -> list[int]:
+    """The remainders of all bytes by the polynomial of crc32."""
+    out = []
+    for v in range(256):
+        for _ in range(8):
+            v = v >> 1 ^ (0xEDB88320 if v & 1 else 0)
+        out.append(v)
+    return out
+
+
+def _descent_sql(name: str, tree: sharding.Tree) -> str:
+    """Common table expressions that end in ``name`` (key, leaf): the first draw that counts, of every key."""
+    if tree.weights:
+        raise ValueError("SQL for equal weights only")
+    ps = ", ".join(f"('{p['name']}', {p['region']}, {p['regions']}, {p['floor']}::DOUBLE, {p['width']}::DOUBLE, {p['rate']}::DOUBLE)" for p in tree.processes())
+    part = lambda start, n: f"(('0x' || substr(h, {start}, {n}))::BIGINT / {16**n}::DOUBLE)"
+    wait = f"-ln({part(1, 13)} + {0.5 / 16**13!r}::DOUBLE)"
+    return f"""
+{name}_p(name, region, regions, floor, width, rate) AS (VALUES {ps}),
+{name}_d AS (SELECT key, p.*, j, md5(p.name || '|' || j || '|' || key) AS h FROM (SELECT DISTINCT key FROM d), {name}_p p, range({sharding.TRIES}) AS t(j)),
+{name}_t AS (SELECT key, name, j, sum({wait} / rate) OVER (PARTITION BY key, name ORDER BY j ROWS UNBOUNDED PRECEDING) AS t, floor + width * {part(28, 5)} AS level,
+  ((region + floor({part(14, 6)} * regions)::INTEGER) * {tree.racks_per_region} + floor({part(20, 4)} * {tree.racks_per_region})::INTEGER) * {tree.per_rack} + floor({part(24, 4)} * {tree.per_rack})::INTEGER AS leaf FROM {name}_d),
+{name}_f AS (SELECT key, t, leaf FROM {name}_t WHERE leaf < {tree.shards} AND level < 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY t) = 1),
+{name}_l AS (SELECT key, {wait} AS t, leaf FROM (SELECT key, leaf, md5('{tree.seed}|leaf|' || leaf || '|' || key) AS h FROM (SELECT DISTINCT key FROM d WHERE key NOT IN (SELECT key FROM {name}_f)), range({tree.shards}) AS l(leaf))
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY t) = 1),
+{name} AS (SELECT key, leaf FROM {name}_f UNION ALL SELECT key, leaf FROM {name}_l),"""
+
+
+def _sharding_sql() -> str:
+    tree, grown = sharding.Tree(SHARDS), sharding.Tree(SHARDS + 1)
+    listed = "[" + ", ".join(map(str, _crc_table())) + "]"
+    bytes_ = "list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"""
+WITH b AS (SELECT doc_id, (strlen(coalesce(text, '')) + 8)::BIGINT AS size, list_prepend(4294967295::BIGINT, {bytes_}) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(4294967295, list_reduce(bytes, lambda c, x: xor(c >> 8, ({listed}::BIGINT[])[(xor(c, x) & 255) + 1]))) AS text_crc32 FROM b),
+d AS (SELECT *, CASE WHEN doc_id IS NULL THEN 'null ' || text_crc32 ELSE doc_id::VARCHAR END AS key FROM c),{_descent_sql('now', tree)}{_descent_sql('more', grown)}
+z AS (SELECT d.*, now.leaf AS shard, more.leaf AS grown_shard, md5('{tree.seed}|slot|' || key || '|' || text_crc32) AS h FROM d JOIN now USING (key) JOIN more USING (key))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, (row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, grown_shard::INTEGER AS grown_shard,
+  (shard // {tree.per_rack * tree.racks_per_region})::INTEGER AS region, (shard // {tree.per_rack})::INTEGER AS rack FROM z"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _mixing_sql(), "op2_decontamination": _DECONTAM_SQL, "op6_topk": _TOPK_SQL, "op8_url_filter": _url_sql()}
+    return {"op10_sharding": _sharding_sql(), "op1_mixing": _mixing_sql(), "op2_decontamination": _DECONTAM_SQL, "op6_topk": _TOPK_SQL, "op8_url_filter": _url_sql()}
