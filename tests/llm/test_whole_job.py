@@ -2,7 +2,7 @@
 
 import pytest
 
-from strandweave.llm import minhash, topk, toxicity
+from strandweave.llm import decontam, minhash, topk, toxicity
 
 
 def test_blocks_of_unlinked_nodes(spark, monkeypatch):
@@ -71,3 +71,32 @@ def test_topk_takes_no_settings(spark):
     before = spark.conf.get(name, None)
     topk.divisible(spark.createDataFrame([(20, [1.0]), (1, [1.0])], "vec_id bigint, embedding array<double>"))
     assert spark.conf.get(name, None) == before
+
+
+def test_decontamination_over_blocks_and_null_ids(spark):
+    """Items over many blocks are judged as in one; a null id counts, without a name."""
+    import hashlib
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    items = [("i1", a), (None, b), ("i2", c), ("i2", a[:30]), (None, "a0"), ("z", " ".join(["the"] * 30)), ("y", "the the the")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(1, a + " x " + b), (2, b), (2, c), (3, "w " * 300 + b), (4, None), (None, a), (5, "the " * 14), (5, "the " * 14), (6, "a0")], "doc_id bigint, text string")
+    got = sorted(map(tuple, decontam.digest(docs, bench).collect()), key=repr)
+    for size in (10, 200):
+        assert sorted(map(tuple, decontam.digest(docs, bench, size).collect()), key=repr) == got
+        assert sorted(map(tuple, decontam.clean(docs, bench, size).collect()), key=repr) == sorted(map(tuple, decontam.clean(docs, bench).collect()), key=repr)
+    by = {r[0]: r for r in got if r[0] in (1, 3, 5, 6)}
+    sha = lambda *names: hashlib.sha256(",".join(names).encode()).hexdigest()
+    assert by[1][1:] == (41, 40, 3, sha("i1", "i2"), True)  # i1, the short item i2 and the one without id
+    assert by[3][1:] == (320, 20, 1, sha(), True) and by[5][1:] == (14, 14, 2, sha("y", "z"), True) and by[6][3] == 1
+
+
+def test_decontamination_tables_are_small():
+    import random
+
+    rnd = random.Random(1)
+    vocabulary = [f"word{int(rnd.paretovariate(0.6)) % 30_000}" for _ in range(170_000)]
+    tables = decontam.Searcher([(k, " ".join(vocabulary[k : k + 500])) for k in range(0, 170_000, 500)])
+    assert tables.bytes() < 40 * 170_000
+    text = " ".join(vocabulary[1000:1100])
+    assert len(tables(text)[1]) == 100 and tables(text)[2] >= {"1000"}
