@@ -1,30 +1,36 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A text is cut into clauses at . ! ? ; : and line ends; a contracted n't is the word not.  A first transducer rewrites words
-to weighted symbols: insult, threat, target, negation, report or other.  The others read
-symbols from left to right, each with a state of its own, and pass on changed weights:
+A text is cut into clauses at . ! ? ; : and line ends; a contracted n't is the word not.  The
+lexicon rewrites words to weighted symbols: insult, threat, target, negation, report or other.
+Transducers (``transducer``) read the symbols, each with states of its own, and are composed:
   * negation: an insult or threat within NEAR symbols after a negation keeps NEGATED of its weight;
-  * target: an insult within NEAR symbols of a target gets TARGETED times its weight;
-    a threat counts only with a target in its clause;
-  * reported speech: after a reporting word, what follows in the clause keeps REPORTED.
-A clause's score is the sum of what is left; clauses without an insult or threat have none.
-A document's evidence is the sum of its clauses' scores, its score a logistic function of
-log(1 + evidence).
-
-Insults are the fixed words below and the words and word beginnings that labelled documents
-show: presence in toxic against other documents, kept if the likelihood ratio is at least
-LEAST_G2 and at least LEAST_SHARE of the documents that hold it are toxic (smoothed);
-weight: the smoothed log odds.  Of labelled documents that share their least five-word run
-only one counts, and words that stand only beside more common insults are left out, so that
-copies of a toxic document don't make its other words insults.  A longer beginning or whole word that is known not to be
-toxic clears what a shorter beginning says.  The lexicon and the logistic function are
-fitted on at most SAMPLE_DOCS labelled documents that are not held out, those with the
-least hashes, the function on evidence by lexicons of the other half of them.
+  * reported speech: after a reporting word, what follows in the clause keeps REPORTED;
+  * target: an insult within NEAR symbols of a target, before or after it, gets TARGETED times its
+    weight; a threat counts only with a target in its clause.
+The first three read a clause forwards as one composed transducer; the target's, composed with
+what each symbol is worth, reads what they wrote backwards.  A clause's score is the sum of
+the products; clauses without an insult or threat have none.  A document's evidence is the sum
+of its clauses' scores, its score a logistic function of log(1 + evidence).
+
+Insults are the fixed words below and terms that labelled documents show: words, beginnings of
+words, and beginnings that a document is dense in (at least DENSE words start so, and one of
+DENSE_IN).  A term's presence in toxic is held against that in other documents; it is kept if
+the likelihood ratio is at least LEAST_G2 and at least LEAST_SHARE of the documents that hold it
+are toxic (smoothed); weight: the smoothed log odds.  Of labelled documents that share their
+least five-word run only one counts, and terms that stand only beside more common insults are
+left out, so that copies of a toxic document don't make its other words insults.  A longer
+beginning or whole word that is known not to be toxic clears what a shorter beginning says.
+
+The lexicon and the logistic function are fitted on a bounded sample of labelled documents
+that are not held out: those with the least hashes, at most SAMPLE_DOCS, and of them as many
+as come to SAMPLE_BYTES of text; the function on evidence by lexicons of the other half of them.
+What the driver collects is terms and labels of this sample; no term of it is left out by its
+length or number.
 
 Defined results: null, empty and wordless texts have no evidence and the score of that;
 labels other than 0 and 1 and null ids are not learned from; several labels of an id count
 as the greatest; without labels the fixed words and DEFAULT decide; rows that repeat an id
-are judged each; an empty table gives no rows; other columns play no part.
+are judged each; ids come out as longs; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -37,10 +43,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, held_out, materialize
+from .common import WORD_BYTES, held_out, materialize, python_table
+from .transducer import FIXED_WEIGHT, INSULT, NEGATED, NEGATION, OTHER, REPORT, REPORTED, TARGET, TARGETED, THREAT, Grammar
 
 # Words of the grammar's classes.
 INSULTS = "arschloch bastard cabrón clown connard crétin depp disgusting dummkopf estúpido filth idiot idiota idiote idioten imbécile imbécil loser losers moron morons pathetic salaud scum stupid trash trottel vermin worthless".split()
@@ -49,16 +56,15 @@ TARGETS = "you your you're u he she they them him her tu te toi vous ton ta votr
 NEGATIONS = "not no never isn't aren't don't doesn't nor ne pas jamais non kein keine keinen nicht nie niemals nunca jamás ni".split()
 REPORTS = "said says saying told quote quoted wrote called calls dit disait écrit cité sagte sagt schrieb zitiert dijo dice escribió citó".split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 3, 4, 5
-FIXED_WEIGHT = 3.0
-NEAR = 3
-NEGATED, REPORTED, TARGETED = 0.4, 0.6, 1.25
-
 SAMPLE_DOCS = 20_000
+SAMPLE_BYTES = 128 << 20
 BEGINNINGS = (4, 5, 6)  # bytes
 LEAST_G2 = 24.0
 LEAST_SHARE = 0.7
-MAX_TERMS = 50_000
+#: A document is dense in a beginning that at least DENSE of its words have, and at least one of DENSE_IN of them.
+DENSE, DENSE_IN = 2, 128
+#: Terms of a task that are counted in memory at once.
+HELD_TERMS = 200_000
 COMMON, MANY, NEW = 0.01, 25, 2
 DEFAULT = (-3.0, 3.0)
 THRESHOLD = 0.3
@@ -72,65 +78,80 @@ CONTRACTED = re.compile(rb"n(?:'|\xe2\x80\x99)t(?![0-9a-z\x80-\xff])", re.IGNORE
 
 
 class Lexicon(dict):
-    """Word to (class, weight), or None; learned words and beginnings before fixed ones."""
+    """Word to (class, weight, dense beginnings), or None; learned words and beginnings before fixed ones."""
 
-    def __init__(self, words: dict[bytes, float], beginnings: dict[bytes, float]):
+    def __init__(self, words: dict[bytes, float], beginnings: dict[bytes, float], dense: dict[bytes, float] | None = None):
         super().__init__()
-        self.words, self.beginnings = words, beginnings
+        self.words, self.beginnings, self.dense = words, beginnings, dense or {}
         self.fixed = {w.encode(): (k, 1.0) for k, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws}
         self.fixed |= {w.encode(): (INSULT, FIXED_WEIGHT) for w in INSULTS}
 
     def __missing__(self, word: bytes):
         if len(self) > MAX_WORDS:
             self.clear()
-        found = self.fixed.get(word)
-        if found is None or found[0] == INSULT:
+        kind, own = self.fixed.get(word, (OTHER, 0.0))
+        dense = ()
+        if kind in (OTHER, INSULT):
             weight = self.words.get(word)
             for n in reversed(BEGINNINGS):  # the most specific term that is known decides
                 if weight is None and len(word) >= n:
                     weight = self.beginnings.get(word[:n])
             if weight:
-                found = (INSULT, max(weight, found[1] if found else 0.0))
+                kind, own = INSULT, max(weight, own)
+            dense = tuple(word[:n] for n in BEGINNINGS if len(word) >= n and word[:n] in self.dense)
+        found = (kind, own, dense) if kind or dense else None
         self[word] = found
         return found
 
 
-def clause_score(symbols: list[tuple[int, int, float]]) -> float:
-    """symbols: (position, class, weight) in order; composes negation, target and report."""
-    targets = [p for p, k, _ in symbols if k == TARGET]
-    negated, reported, total = -NEAR - 1, False, 0.0
-    for p, kind, weight in symbols:
-        if kind == NEGATION:
-            negated = p
-        elif kind == REPORT:
-            reported = True
-        elif kind in (INSULT, THREAT):
-            if kind == THREAT:
-                if not targets:
-                    continue
-                weight = FIXED_WEIGHT
-            elif any(abs(p - t) <= NEAR for t in targets):
-                weight *= TARGETED
-            total += weight * (NEGATED if p - negated <= NEAR else 1.0) * (REPORTED if reported else 1.0)
-    return total
+GRAMMAR = Grammar()
+clause_score = GRAMMAR
 
 
-def evidence(text: str | None, lexicon: Lexicon) -> float:
+def clauses(text: str | None) -> list[list[bytes]]:
+    """The words of each clause."""
     if not text:
-        return 0.0
-    total, get = 0.0, lexicon.__getitem__
+        return []
     raw = text.encode()
     if b"'" in raw or b"\xe2\x80\x99" in raw:
         raw = CONTRACTED.sub(b" not", raw)
-    for clause in raw.translate(CLAUSE_BYTES).split(b"\n"):
-        found = list(map(get, clause.split()))
+    return [c.split() for c in raw.translate(CLAUSE_BYTES).split(b"\n")]
+
+
+def evidence(text: str | None, lexicon: Lexicon, grammar: Grammar = GRAMMAR) -> float:
+    get, n, held, count = lexicon.__getitem__, 0, [], Counter()
+    for words in clauses(text):
+        n += len(words)
+        found = list(map(get, words))
         if any(found):
             symbols = [(i, *s) for i, s in enumerate(found) if s]
-            if any(s[1] <= THREAT for s in symbols):
-                total += clause_score(symbols)
+            if any(s[1] in (INSULT, THREAT) or s[3] for s in symbols):
+                held.append(symbols)
+                for s in symbols:
+                    count.update(s[3])
+    full = {k for k, c in count.items() if c >= DENSE and c * DENSE_IN >= n}
+    total = 0.0
+    for symbols in held:
+        tape = []
+        for i, kind, weight, dense in symbols:
+            if full and dense:
+                most = max((lexicon.dense[k] for k in dense if k in full), default=0.0)
+                if most > weight:
+                    kind, weight = INSULT, most
+            if kind:
+                tape.append((i, kind, weight))
+        if any(k in (INSULT, THREAT) for _, k, _ in tape):
+            total += grammar(tape)
     return total
 
 
+def terms_of(text: str | None) -> set[bytes]:
+    """=word, <beginning and, where a text is dense in it, +beginning."""
+    words = (text or "").encode().translate(WORD_BYTES).split()
+    starts = Counter(w[:n] for w in words for n in BEGINNINGS if len(w) >= n)
+    return {b"=" + w for w in words} | {b"<" + b for b in starts} | {b"+" + b for b, c in starts.items() if c >= DENSE and c * DENSE_IN >= len(words)}
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """(intercept, slope) by damped Newton steps, with a ridge towards DEFAULT."""
     at, goal = np.array(DEFAULT), np.array(DEFAULT)
@@ -167,18 +188,24 @@ def g2(t: int, n: int, toxic: int, total: int) -> float:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, half) of the labelled documents to learn from."""
+    """(text, toxic, half, doc_id) of the labelled documents to learn from."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = int(min(1.0, 1.1 * SAMPLE_DOCS / max(1, known.count())) * (1 << 30))
     few = known.filter(h <= share).orderBy(h, "doc_id").limit(SAMPLE_DOCS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "doc_id")
-    rows = materialize(rows.mapInArrow(_prints, "text string, toxic int, doc_id bigint, print bigint"), "toxic-rows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "doc_id")
+    rows = python_table(rows.mapInArrow(_prints, "text string, toxic int, doc_id bigint, print bigint"), "toxic-rows")
     # Copies would make every word of theirs look toxic: one document stays of those that share a print.
-    one = rows.groupBy("toxic", "print").agg(F.min("doc_id").alias("doc_id"))
-    rows = rows.join(F.broadcast(one), ["toxic", "print", "doc_id"])
-    return materialize(rows.select("text", "toxic", F.pmod(F.xxhash64("print"), F.lit(2)).cast("int").alias("half"), "doc_id"), "toxic-sample")
+    rows = rows.groupBy("toxic", "print").agg(F.min_by(F.struct("text", "doc_id"), F.struct("doc_id", F.xxhash64("text"))).alias("r"))
+    rows = materialize(rows.select("r.text", "toxic", F.pmod(F.xxhash64("print"), F.lit(2)).cast("int").alias("half"), "r.doc_id", "print"), "toxic-sample")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    if (rows.agg(F.sum(size)).first()[0] or 0) <= SAMPLE_BYTES:
+        return rows
+    # At most SAMPLE_DOCS rows: one task orders them.
+    upto = F.sum("size").over(Window.orderBy(h, "toxic", "print"))
+    kept = rows.select("doc_id", "toxic", "print", size.alias("size")).withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES)
+    return materialize(rows.join(F.broadcast(kept.select("toxic", "print")), ["toxic", "print"]).select(*rows.columns), "toxic-sample")
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,19 +218,22 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "print"])
 
 
+KINDS = {b"=": "words", b"<": "beginnings", b"+": "dense"}
+
+
 def lexicon_of(terms: list[tuple[bytes, int, int]], toxic: int, total: int) -> dict:
     """Weights of words and beginnings from (term, toxic documents, documents); 0 for terms that clear what a shorter beginning says."""
     base = toxic / max(1, total)
-    words, beginnings = {}, {}
+    out: dict = {"words": {}, "beginnings": {}, "dense": {}}
     for term, t, n in terms:
         p = (t + base) / (n + 1)
-        held = words if term[:1] == b"=" else beginnings
+        held = out[KINDS[term[:1]]]
         if p >= LEAST_SHARE:
             if t >= 3 and g2(t, n, toxic, total) >= LEAST_G2:
                 held[term[1:]] = math.log(p / (1 - p)) - math.log(base / (1 - base))
-        elif n >= 3:
+        elif n >= 3 and term[:1] != b"+":
             held[term[1:]] = 0.0
-    return {"words": words, "beginnings": beginnings}
+    return out
 
 
 def explained(lexicon: dict, held: list[tuple[int, list[bytes]]], toxic: int, half: int | None = None) -> dict:
@@ -219,10 +249,10 @@ def explained(lexicon: dict, held: list[tuple[int, list[bytes]]], toxic: int, ha
             for t in terms:
                 at.setdefault(t, set()).add(k)
     covered: set = set()
-    out = {"words": {k: v for k, v in lexicon["words"].items() if not v}, "beginnings": {k: v for k, v in lexicon["beginnings"].items() if not v}}
-    strong = [(b"=" + k, v, "words") for k, v in lexicon["words"].items() if v] + [(b"<" + k, v, "beginnings") for k, v in lexicon["beginnings"].items() if v]
+    out = {kind: {k: v for k, v in lexicon[kind].items() if not v} for kind in KINDS.values()}
+    strong = [(mark + k, v, kind) for mark, kind in KINDS.items() for k, v in lexicon[kind].items() if v]
     # Of equal counts words come before beginnings and longer before shorter.
-    for term, v, kind in sorted(strong, key=lambda r: (-len(at.get(r[0], ())), r[0][:1] == b"<", -len(r[0]), r[0])):
+    for term, v, kind in sorted(strong, key=lambda r: (-len(at.get(r[0], ())), b"=+<".index(r[0][:1]), -len(r[0]), r[0])):
         own = at.get(term, set())
         if len(own) >= max(MANY, COMMON * toxic) or len(own - covered) >= NEW:
             out[kind][term[1:]] = v
@@ -236,97 +266,97 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("half", "toxic").count().collect()}
     toxic = [sizes.get((h, 1), 0) for h in (0, 1)]
     total = [toxic[h] + sizes.get((h, 0), 0) for h in (0, 1)]
-    model = {"words": {}, "beginnings": {}, "logistic": DEFAULT}
+    model = {"words": {}, "beginnings": {}, "dense": {}, "logistic": DEFAULT}
     if not 0 < sum(toxic) < sum(total):
         return model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {(h, y): Counter() for h in (0, 1) for y in (0, 1)}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for (h, y), count in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array([h] * len(count), pa.int32()), pa.array([y] * len(count), pa.int32()), pa.array(list(count.values()), pa.int64())], names=["term", "half", "toxic", "n"])
+                count.clear()
+
         for b in batches:
-            for text, y, h in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                words = set((text or "").encode().translate(WORD_BYTES).split())
-                terms = {b"=" + w for w in words if len(w) <= 40}
-                for n in BEGINNINGS:
-                    terms |= {b"<" + w[:n] for w in words if len(w) >= n}
-                seen[h, y].update(terms)
-        for (h, y), count in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array([h] * len(count), pa.int32()), pa.array([y] * len(count), pa.int32()), pa.array(list(count.values()), pa.int64())], names=["term", "half", "toxic", "n"])
+            for text, y, h in zip(*b.columns, strict=True):
+                seen[h.as_py(), y.as_py()].update(terms_of(text.as_py()))
+                if sum(map(len, seen.values())) > HELD_TERMS:
+                    yield from counted()
+        yield from counted()
 
     part = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("toxic") >= y), F.col("n")).otherwise(0))
     sums = rows.mapInArrow(run, "term binary, half int, toxic int, n bigint").groupBy("term").agg(part(0, 1).alias("t0"), part(0, 0).alias("n0"), part(1, 1).alias("t1"), part(1, 0).alias("n1"))
-    sums = materialize(sums.filter(F.col("n0") + F.col("n1") >= 3), "toxic-terms")
+    sums = python_table(sums.filter(F.col("n0") + F.col("n1") >= 3), "toxic-terms")
     base = sum(toxic) / sum(total)
 
     def share(t, n):
         return t + base >= LEAST_SHARE * (n + 1)
 
     t, n = F.col("t0") + F.col("t1"), F.col("n0") + F.col("n1")
-    strong = sums.filter((t >= 3) & (share(t, n) | share(F.col("t0"), F.col("n0")) | share(F.col("t1"), F.col("n1")))).orderBy(F.desc(t), "term").limit(MAX_TERMS).collect()
+    strong = sums.filter((t >= 3) & (share(t, n) | share(F.col("t0"), F.col("n0")) | share(F.col("t1"), F.col("n1")))).collect()
     # What extends a strong beginning without being toxic itself clears it.
     heads = sorted({bytes(r.term[1 : 1 + BEGINNINGS[0]]) for r in strong if r.term[:1] == b"<" and g2(r.t0 + r.t1, r.n0 + r.n1, sum(toxic), sum(total)) >= LEAST_G2})
     known = {bytes(r.term): (r.t0, r.n0, r.t1, r.n1) for r in strong}
     if heads:
         listed = docs.sparkSession.createDataFrame([(h,) for h in heads], "head binary")
-        near = sums.withColumn("head", F.substring("term", 2, BEGINNINGS[0])).join(F.broadcast(listed), "head").orderBy(F.desc(n), "term").limit(MAX_TERMS)
+        near = sums.withColumn("head", F.substring("term", 2, BEGINNINGS[0])).join(listed, "head")
         known |= {bytes(r.term): (r.t0, r.n0, r.t1, r.n1) for r in near.collect()}
     lexicons = [
         lexicon_of([(k, a, m) for k, (a, m, _, _) in known.items()], toxic[0], total[0]),
         lexicon_of([(k, a, m) for k, (_, _, a, m) in known.items()], toxic[1], total[1]),
         lexicon_of([(k, a + c, m + o) for k, (a, m, c, o) in known.items()], sum(toxic), sum(total)),
     ]
-    wanted = docs.sparkSession.sparkContext.broadcast({k for lex in lexicons for k in [b"=" + w for w, v in lex["words"].items() if v] + [b"<" + w for w, v in lex["beginnings"].items() if v]})
+    wanted = docs.sparkSession.sparkContext.broadcast({mark + k for lex in lexicons for mark, kind in KINDS.items() for k, v in lex[kind].items() if v})
 
     def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            terms = []
-            for t in b.column(0).to_pylist():
-                words = set((t or "").encode().translate(WORD_BYTES).split())
-                terms.append(sorted(({b"=" + w for w in words} | {b"<" + w[:n] for w in words for n in BEGINNINGS if len(w) >= n}) & wanted.value))
+            terms = [sorted(terms_of(t.as_py()) & wanted.value) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(terms, pa.list_(pa.binary()))], names=["half", "terms"])
 
     bad = rows.filter("toxic = 1").select("text", "half").mapInArrow(holds, "half int, terms array<binary>")
-    held = [(r[0], [bytes(t) for t in r[1]]) for r in bad.collect()]
+    held = [(r[0], [bytes(t) for t in r[1]]) for r in python_table(bad, "toxic-held").collect()]
     lexicons = [explained(lexicons[0], held, toxic[0], 0), explained(lexicons[1], held, toxic[1], 1), explained(lexicons[2], held, sum(toxic))]
     shared = docs.sparkSession.sparkContext.broadcast(lexicons)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = [Lexicon(**shared.value[1]), Lexicon(**shared.value[0])]
         for b in batches:
-            x = [evidence(text, other[h]) for text, h in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            x = [evidence(text.as_py(), other[h.as_py()]) for text, h in zip(b.column(0), b.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column(1)], names=["x", "y"])
 
-    pairs = sorted((r[0], r[1]) for r in rows.mapInArrow(found, "x double, y int").collect())
+    pairs = sorted((r[0], r[1]) for r in python_table(rows.mapInArrow(found, "x double, y int"), "toxic-evidence").collect())
     return lexicons[2] | {"logistic": logistic(np.log1p([x for x, _ in pairs]), np.array([y for _, y in pairs], float))}
 
 
 class Scorer:
-    def __init__(self, model: dict):
-        self.lexicon, (self.a, self.b) = Lexicon(model["words"], model["beginnings"]), model["logistic"]
+    def __init__(self, model: dict, grammar: Grammar = GRAMMAR):
+        self.lexicon, (self.a, self.b) = Lexicon(model["words"], model["beginnings"], model["dense"]), model["logistic"]
+        self.grammar = grammar
 
     def __call__(self, text: str | None) -> float:
-        return 1 / (1 + math.exp(-(self.a + self.b * math.log1p(evidence(text, self.lexicon)))))
+        return 1 / (1 + math.exp(-(self.a + self.b * math.log1p(evidence(text, self.lexicon, self.grammar)))))
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+def _scores(docs: DataFrame, model: dict, without: frozenset[str] = frozenset()):
+    """A function of a text column: its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for b in batches:
-            s = [scorer(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+    @F.arrow_udf("double")
+    def scores(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(shared.value, Grammar(without))
+        for texts in parts:
+            yield pa.array([scorer(t.as_py()) for t in texts], pa.float64())
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return scores
 
 
-def clean(docs: DataFrame, model: dict) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+def score(docs: DataFrame, model: dict, without: frozenset[str] = frozenset()) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), _scores(docs, model, without)("text").alias("score"))
+    return python_table(rows, "toxicity").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for b in batches:
-            yield b.filter(pa.array([scorer(t.as_py()) < THRESHOLD for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def clean(docs: DataFrame, model: dict) -> DataFrame:
+    """The documents that are not predicted toxic, with all their columns; only texts go to Python."""
+    return docs.filter(_scores(docs, model)("text") < THRESHOLD)
