@@ -17,8 +17,8 @@
    under 0.8 are never made.  The first turn makes the maximum spanning forest of each bucket's
    estimates; later turns, over all buckets of one largest class together, of each node outside it
    the TOP best pairs with other classes that were not tested, by longer signatures, TOP growing by 64 times, until no bucket
-   leaves any out: nothing is capped.  A test computes J from the shingle sets; a link is
-   J >= 0.8.  Buckets of more than BLOCK nodes are worked on in blocks: in later
+   leaves any out: nothing is capped.  A test computes J from the shingle sets, which one more
+   pass over the texts writes for the documents that share a bucket; a link is J >= 0.8.  Buckets of more than BLOCK nodes are worked on in blocks: in later
    turns a block of the nodes of smaller classes meets a block of all nodes in a group of its own.
 5. Classes are the connected components of links, by rounds of least labels.
 
@@ -29,7 +29,9 @@ Defined results: null texts are alone in a class of their own; texts without wor
 only the same text; texts of one to four words have one shingle, all their words; rows
 that repeat an id and its text are one document; each further text of an id, by hash, is a
 document of its own, and names a class by a number from 2^62 if no first text is in it; an
-empty table gives no rows; a null id has no row in the result; other columns play no part.
+empty table gives no rows; other columns play no part.  Rows with a null id: with ``null_ids``
+each of their texts is a document, as a further text of an id is; without it they have no row
+in the result of ``classes`` and pass ``deduplicate`` uncompared.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, materialize, skew_safe_join
+from .common import WORD_BYTES, materialize, python_table, skew_safe_join
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -55,14 +57,14 @@ LONG, LONG_FLOOR = 512, 0.72
 #: Pairs of a node in a bucket that the second turn tests; later turns 64 times the one before.
 TOP = 64
 #: Nodes of a bucket that are worked on at once.
-BLOCK = 1024
-#: Bits of the filter that finds documents by id; a megabyte.
-FILTER_BITS = 1 << 23
+BLOCK = 512
+#: Bits of the filter that finds documents by id: so many an id, and at most 4 megabytes.
+FILTER_PER_ID, MAX_FILTER_BITS = 16, 1 << 25
 FILTER_SEED = 11
 #: From here on are the keys of further texts of an id.
 FURTHER = 1 << 62
 #: Bytes of text that are worked on at once in a task.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.frombuffer(hashlib.shake_128(b"shingle bytes").digest(256 * 8), "<u8")
@@ -81,7 +83,7 @@ def _powers(n: int, _kept: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa:
     if len(_kept.get("p", ())) < n:
         odd = 0xD6E8FEB86659FD93
         for name, base in (("p", odd), ("i", pow(odd, -1, 1 << 64))):
-            steps = np.full(max(n, 1 << 16), base, np.uint64)
+            steps = np.full(max(n, CHUNK_BYTES + 2), base, np.uint64)
             steps[0] = 1
             _kept[name] = np.multiply.accumulate(steps)
     return _kept["p"][:n], _kept["i"][:n]
@@ -91,16 +93,24 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, one text after the other; words of each text)."""
     raw = [t.encode() if t else b"" for t in texts]
     sizes = np.array([len(r) + 1 for r in raw], np.int64)
-    data = np.frombuffer((b" ".join(raw) + b" ").translate(WORD_BYTES), np.uint8)
-    inside = data != 0x20
-    flips = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    start, end = flips[::2], flips[1::2]
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * power[: len(data)], out=total[1:])
-    h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _GOLD)
+    data = (b" ".join(raw) + b" ").translate(WORD_BYTES)
+    found, starts, low = [], [], 0
+    while low < len(data):  # in parts that end between words
+        high = min(low + CHUNK_BYTES, len(data))
+        if high < len(data):
+            high = data.rfind(b" ", low, high) + 1 or data.find(b" ", high) + 1
+        part = np.frombuffer(data, np.uint8, high - low, low)
+        flips = np.flatnonzero(np.diff(part != 0x20, prepend=False, append=False))
+        start, end = flips[::2], flips[1::2]
+        power, inverse = _powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_TABLE[part] * power[: len(part)], out=total[1:])
+        found.append(mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _GOLD))
+        starts.append(start + low)
+        low = high
+    start = np.concatenate(starts) if starts else np.empty(0, np.int64)
     edges = np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))
-    return h, np.diff(edges)
+    return np.concatenate(found) if found else np.empty(0, np.uint64), np.diff(edges)
 
 
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -243,31 +253,40 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([None if c is None else c.tobytes() for c in few], pa.binary())], names=["id", "s", "c"])
 
 
+def _loaded(s: bytes, c: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle set with its weights."""
+    s = np.frombuffer(s, np.uint64)
+    return s, weights(np.frombuffer(c, np.int32)) if c is not None else np.ones(len(s))
+
+
 def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long signatures from shingle sets."""
     for b in batches:
-        for ids, texts in _chunks(b):
-            doc, s, count, _ = shingles(texts)
-            sig = bytes_of(signatures(doc, s, weights(count), len(texts), LONG))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["id", "sig"])
+        k = 0
+        while k < b.num_rows:
+            first, held, size = k, [], 0
+            while k < b.num_rows and size < CHUNK_BYTES // 8:
+                held.append(_loaded(b.column(1)[k].as_py(), b.column(2)[k].as_py()))
+                size += len(held[-1][0])
+                k += 1
+            doc = np.repeat(np.arange(len(held)), [len(s) for s, _ in held])
+            sig = bytes_of(signatures(doc, np.concatenate([s for s, _ in held]), np.concatenate([w for _, w in held]), len(held), LONG))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(held)), pa.array([x.tobytes() for x in sig], pa.binary())], names=["id", "sig"])
 
 
 def _test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def load(s, c):
-        s = np.frombuffer(s, np.uint64)
-        return s, weights(np.frombuffer(c, np.int32)) if c is not None else np.ones(len(s))
-
     for b in batches:
-        cols = [b.column(k).to_pylist() for k in range(6)]
+        a, p, s, c, ps, pc = b.columns
         kept, last, pivot = [], None, None
-        for i, (_, p, s, c, ps, pc) in enumerate(zip(*cols, strict=True)):
-            if p != last:
-                last, pivot = p, load(ps, pc)
-            mine = load(s, c)
-            if SIMILARITY * max(len(mine[0]), len(pivot[0])) > min(len(mine[0]), len(pivot[0])) and c is None and pc is None:
+        for i in range(b.num_rows):
+            if p[i].as_py() != last:
+                last, pivot = p[i].as_py(), _loaded(ps[i].as_py(), pc[i].as_py())
+            mine = _loaded(s[i].as_py(), c[i].as_py())
+            if SIMILARITY * max(len(mine[0]), len(pivot[0])) > min(len(mine[0]), len(pivot[0])) and not c[i].is_valid and not pc[i].is_valid:
                 continue
             if similarity(*mine, *pivot) >= SIMILARITY - 1e-12:
                 kept.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([cols[0][i] for i in kept], pa.int64()), pa.array([cols[1][i] for i in kept], pa.int64())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([a.take(pa.array(kept, pa.int64())), p.take(pa.array(kept, pa.int64()))], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,8 +310,8 @@ def components(edges: DataFrame) -> DataFrame:
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarities of all rows of two sets of short signatures, corrected for equal bytes by chance."""
     same = np.zeros((len(a), len(b)), np.float32)
-    for k in range(0, len(a), 64):  # bounded memory
-        same[k : k + 64] = (a[k : k + 64, None, :] == b[None, :, :]).mean(2, dtype=np.float32)
+    for k in range(0, len(a), 16):  # bounded memory
+        same[k : k + 16] = (a[k : k + 16, None, :] == b[None, :, :]).mean(2, dtype=np.float32)
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
@@ -389,10 +408,12 @@ def _more_pairs(top: int):
 PAIRS = "a bigint, b bigint"
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, null_ids: bool = False) -> DataFrame:
     """doc_id, class_id, node_id, n_links of every document; of an id with several texts, a row for each."""
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if not _repeats(rows):
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not null_ids:
+        rows = rows.filter(F.col("doc_id").isNotNull())
+    if not _odd(rows):
         return _classes(rows)
     keyed = _keyed(rows).groupBy("sw_key").agg(F.min("sw_row.doc_id").alias("own"), F.min("sw_row.text").alias("text"))
     keyed = materialize(keyed, "documents")
@@ -401,20 +422,20 @@ def classes(docs: DataFrame) -> DataFrame:
     return done.hint("merge").join(own, done.doc_id == own.sw_key).select(F.col("own").alias("doc_id"), "class_id", "node_id", "n_links")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """sw_row (all columns) and sw_key of the rows with an id: the id with its first text by hash, a number from FURTHER with others."""
+def _keyed(rows: DataFrame) -> DataFrame:
+    """sw_row (all columns) and sw_key: the id with its first text by hash, a number from FURTHER with others and without an id."""
     text = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.struct("*").alias("sw_row"), F.col("doc_id").cast("long").alias("sw_id"), text.alias("sw_text"))
+    rows = rows.select(F.struct("*").alias("sw_row"), F.col("doc_id").cast("long").alias("sw_id"), text.alias("sw_text"))
     # The first text of an id that has several; ids with one text are their own keys.
-    many = rows.groupBy(F.col("sw_id").alias("sw_many")).agg(F.min("sw_text").alias("sw_first"), F.max("sw_text").alias("sw_last")).filter("sw_first <> sw_last")
-    further = F.xxhash64("sw_id", "sw_text").bitwiseAND(F.lit(FURTHER - 1)).bitwiseOR(F.lit(FURTHER))
-    key = F.when(F.col("sw_first") != F.col("sw_text"), further).otherwise(F.col("sw_id"))
+    many = rows.filter("sw_id is not null").groupBy(F.col("sw_id").alias("sw_many")).agg(F.min("sw_text").alias("sw_first"), F.max("sw_text").alias("sw_last")).filter("sw_first <> sw_last")
+    further = F.xxhash64(F.coalesce("sw_id", F.lit(0)), F.col("sw_id").isNull(), "sw_text").bitwiseAND(F.lit(FURTHER - 1)).bitwiseOR(F.lit(FURTHER))
+    key = F.when(F.col("sw_id").isNull() | (F.col("sw_first") != F.col("sw_text")), further).otherwise(F.col("sw_id"))
     return rows.hint("merge").join(many, rows.sw_id == many.sw_many, "left").select("sw_row", key.alias("sw_key"))
 
 
 def _classes(rows: DataFrame) -> DataFrame:
     """doc_id, class_id, node_id, n_links of rows with unique ids (doc_id, text)."""
-    signed = materialize(rows.mapInArrow(_sign, NODES), "signed")
+    signed = python_table(rows.mapInArrow(_sign, NODES), "signed")
     nodes = materialize(signed.groupBy("node_key").agg(F.min("doc_id").alias("node_id"), F.count(F.lit(1)).alias("n_docs")), "nodes")
     reps = signed.join(nodes.select("node_id"), signed.doc_id == nodes.node_id, "left_semi").filter(F.col("bands").isNotNull())
     bands = materialize(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")), "bands")
@@ -424,9 +445,10 @@ def _classes(rows: DataFrame) -> DataFrame:
     open_ = materialize(open_.drop("k"), "open")
     sigs = materialize(signed.join(open_.select("id").distinct(), signed.doc_id == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "sig"), "sigs")
     found = _sorted(open_.hint("merge").join(sigs, "id").select("bucket", F.col("block").alias("at"), "id", "sig")).mapInArrow(_groups(_first_pairs), PAIRS)
-    new, tested, links, label, long, now, more, top = materialize(found.distinct(), "pairs"), None, None, None, None, None, True, TOP
+    new, tested, links, label, long, now, more, top = python_table(found.distinct(), "pairs"), None, None, None, None, None, True, TOP
+    sets = python_table(_named(rows, open_.select("id").distinct(), _sets, "id bigint, s binary, c binary"), "sets")
     while True:
-        linked = _links(new, rows)
+        linked = _links(new, sets)
         tested = new if tested is None else tested.union(new)
         links = linked if links is None else links.union(linked)
         if now is None or linked.take(1):
@@ -436,11 +458,11 @@ def _classes(rows: DataFrame) -> DataFrame:
                 break
             ids = now.select("id").distinct()
             if long is None:
-                long = materialize(_named(rows, ids, _long, "id bigint, sig binary"), "sigs")
+                long = python_table(sets.join(ids, "id", "left_semi").select("id", "s", "c").mapInArrow(_long, "id bigint, sig binary"), "sigs")
         elif not more:
             break
         found = _sorted(now.hint("merge").join(long, "id").select("bucket", "at", "id", "cls", "outside", "home", "sig")).mapInArrow(_groups(_more_pairs(top)), PAIRS)
-        found = materialize(found.distinct(), "found")
+        found = python_table(found.distinct(), "found")
         more = bool(found.filter("a is null").take(1))
         new = materialize(found.filter("a is not null").join(tested, ["a", "b"], "left_anti"), "pairs")
         if not more and not new.take(1):
@@ -487,34 +509,34 @@ def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket", "at").sortWithinPartitions("bucket", "at")
 
 
-def _links(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar enough, by the shingle sets of the documents that they name.
 
     Sets are joined by merging at every size: the larger side is never worth a broadcast,
     and hot ids are split by the planner, as nothing above the joins needs a key whole.
     """
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(_named(rows, ids, _sets, "id bigint, s binary, c binary"), "sets")
     mine = pairs.hint("merge").join(sets, pairs.a == sets.id).drop("id")
     theirs = sets.select(F.col("id").alias("b"), F.col("s").alias("ps"), F.col("c").alias("pc"))
     full = mine.hint("merge").join(theirs, "b").select("a", "b", "s", "c", "ps", "pc")
-    return materialize(full.mapInArrow(_test, PAIRS), "links")
+    return python_table(full.mapInArrow(_test, PAIRS), "links")
 
 
 def _named(rows: DataFrame, ids: DataFrame, work, schema: str) -> DataFrame:
     """``work`` over the documents with the ids, without a shuffle of texts.
 
-    The ids go into a Bloom filter of FILTER_BITS bits, two of them an id, which is what is
-    broadcast at any size; documents that it lets through by chance give rows that no later
-    join asks for.  A filter that is full costs work, not results.
+    The ids go into a Bloom filter, two bits an id of FILTER_PER_ID and MAX_FILTER_BITS in all,
+    which is what is broadcast at any size; documents that it lets through by chance give rows
+    that no later join asks for.  A filter that is full costs work, not results.
     """
     spark = rows.sparkSession
+    size = 1 << 16
+    while size < min(FILTER_PER_ID * ids.count(), MAX_FILTER_BITS):
+        size *= 2
     h = F.xxhash64("id", F.lit(FILTER_SEED))
-    places = F.array(F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftright(h, 32), F.lit(FILTER_BITS)))
+    places = F.array(F.pmod(h, F.lit(size)), F.pmod(F.shiftright(h, 32), F.lit(size)))
     bits = ids.select(F.explode(places).alias("p")).groupBy(F.floor(F.col("p") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("v"))
-    words = np.zeros(FILTER_BITS // 32, np.uint32)
-    for w, v in bits.collect():
-        words[w] = v
+    words, table = np.zeros(size // 32, np.uint32), bits.toArrow()
+    words[np.array(table.column("w"), np.int64)] = np.array(table.column("v"), np.int64).astype(np.uint32)
     shared = spark.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -528,20 +550,22 @@ def _named(rows: DataFrame, ids: DataFrame, work, schema: str) -> DataFrame:
         yield from work(few())
 
     h = F.xxhash64("doc_id", F.lit(FILTER_SEED))
-    return rows.select("doc_id", "text", F.pmod(h, F.lit(FILTER_BITS)).alias("p1"), F.pmod(F.shiftright(h, 32), F.lit(FILTER_BITS)).alias("p2")).mapInArrow(run, schema)
+    return rows.select("doc_id", "text", F.pmod(h, F.lit(size)).alias("p1"), F.pmod(F.shiftright(h, 32), F.lit(size)).alias("p2")).mapInArrow(run, schema)
 
 
-def _repeats(docs: DataFrame) -> bool:
-    return bool(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").take(1))
+def _odd(rows: DataFrame) -> bool:
+    """Whether an id is null or repeats."""
+    return bool(rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").take(1))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, null_ids: bool = False) -> DataFrame:
     """docs with one document of each class: the one that names it; of rows that repeat an id and its text, one stays."""
-    if not _repeats(docs):
+    named = docs if null_ids else docs.filter(F.col("doc_id").isNotNull())
+    if not _odd(named):
         gone = materialize(classes(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("sw_gone")), "gone")
         return docs.join(gone, docs.doc_id == gone.sw_gone, "left_anti")
-    known = materialize(_keyed(docs).groupBy("sw_key").agg(F.min_by("sw_row", "sw_row.doc_id").alias("sw_row")), "documents")
+    known = materialize(_keyed(named).groupBy("sw_key").agg(F.min_by("sw_row", "sw_key").alias("sw_row")), "documents")
     done = _classes(known.select(F.col("sw_key").alias("doc_id"), F.col("sw_row.text").alias("text")))
     gone = materialize(done.filter("doc_id <> class_id").select(F.col("doc_id").alias("sw_gone")), "gone")
-    left = known.join(gone, known.sw_key == gone.sw_gone, "left_anti")
-    return left.select("sw_row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
+    left = known.join(gone, known.sw_key == gone.sw_gone, "left_anti").select("sw_row.*")
+    return left if null_ids else left.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -49,7 +49,7 @@ def op4_token_binary(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.classes(table(spark, sf_dir, "documents"))
+    return minhash.classes(table(spark, sf_dir, "documents"), null_ids=True)
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

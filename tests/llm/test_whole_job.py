@@ -100,3 +100,24 @@ def test_decontamination_tables_are_small():
     assert tables.bytes() < 40 * 170_000
     text = " ".join(vocabulary[1000:1100])
     assert len(tables(text)[1]) == 100 and tables(text)[2] >= {"1000"}
+
+
+def test_null_ids_are_documents_on_request(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    docs = spark.createDataFrame([(None, a), (None, a), (None, b), (1, a + " end"), (2, None), (None, None), (None, "")], "doc_id bigint, text string")
+    got = [tuple(r) for r in minhash.classes(docs, null_ids=True).select("doc_id", "class_id").collect()]
+    assert len(got) == 6 and sum(k == 1 for _, k in got) == 2 and len({k for _, k in got}) == 5
+    kept = [tuple(r) for r in minhash.deduplicate(docs, null_ids=True).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, b), (1, a + " end"), (2, None), (None, None), (None, "")], key=repr)
+    assert len(minhash.classes(docs).collect()) == 2
+
+
+def test_word_hashes_of_long_texts(monkeypatch):
+    import numpy as np
+
+    texts = ["one two " * 50, "x" * 300 + " tail", None, "", "one two"]
+    whole = minhash.word_hashes(texts)
+    monkeypatch.setattr(minhash, "CHUNK_BYTES", 64)  # parts of long texts
+    small = minhash.word_hashes(texts)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, small, strict=True))
+    assert whole[1].tolist() == [100, 2, 0, 0, 2] and whole[0][0] == whole[0][-2]
