@@ -1,4 +1,14 @@
-"""A corpus pipeline of five stages: each gets the documents that its predecessor kept, from Parquet."""
+"""A corpus pipeline of five stages: each gets the documents that its predecessor kept, from Parquet.
+
+Defined results over all stages: a null text has no evidence, no shingles (such rows of different
+ids are no copies), no benchmark words and no tokens.  Rows that repeat an id and its text, or a
+null id and its text, are one document after the second stage; other texts of an id, or of null
+ids, are documents of their own and are compared as all others.  In the fourth stage rows with
+the same id are taken or left together, and the document on a leaf's border is kept whole, where
+op1 tells how many of its tokens the budget takes.  The last stage gives every row a shard and a
+slot; rows of one id share a shard, null ids are placed by their text.  An empty table passes
+through all stages; columns beyond those of documents are carried along up to the last.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +29,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    return minhash.deduplicate(docs)
+    return minhash.deduplicate(docs, null_ids=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
