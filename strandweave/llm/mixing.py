@@ -10,9 +10,10 @@ others share what is left and round down.
 A leaf with a budget of A tokens and T tokens of its own gives A div T whole epochs
 and, of one more epoch, the first A mod T tokens in the order of
 md5(seed|epoch|doc_id).  The document on the border gives its first tokens only
-(``partial_tokens``).  The border is found without sorting a leaf: tokens are summed
-by (leaf, hash range), a running sum over the ranges finds the range of the border,
-and only that range's rows are ordered.  All main-path code is DataFrame code.
+(``partial_tokens``).  The border is found without sorting a leaf: tokens are summed by
+(leaf, hash range), with so many ranges that one holds about RANGE_ROWS rows, the border's
+range is found digit by digit, a running sum over at most 16 sums a leaf each, and only that
+range's rows are ordered.  All main-path code is DataFrame code.
 
 Tokens are runs of characters other than space, tab and line breaks.  Defined
 results: null and empty texts have no tokens, cost no budget and are taken with every
@@ -33,8 +34,9 @@ from .common import materialize
 #: Leaves up to this count are broadcast with their budgets (a leaf takes some
 #: hundred bytes); more leaves are joined by shuffle.
 MAX_BROADCAST_LEAVES = 20_000
-#: Hex digits of md5 that name a hash range: 4096 ranges of a leaf.
-RANGE_DIGITS = 3
+#: Rows that a hash range may hold, on average, if all rows were one leaf's; at least 16^LEAST_DIGITS ranges.
+RANGE_ROWS = 1_000
+LEAST_DIGITS = 3
 
 
 @dataclass(frozen=True)
@@ -117,11 +119,19 @@ def plan(docs: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
     few = given.count() <= MAX_BROADCAST_LEAVES
     hint = F.broadcast if few else (lambda d: d)
     key = F.md5(F.concat_ws("|", F.lit(str(mix.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    keyed = slim.withColumn("leaf", leaf).join(hint(given.filter("part > 0").select("leaf", "whole", "part")), "leaf").withColumn("key", key).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
-    sums = keyed.groupBy("leaf", "part", "range").agg(F.sum("tokens").alias("sum"))
-    upto = Window.partitionBy("leaf").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    border = sums.withColumn("upto", F.sum("sum").over(upto)).filter((F.col("upto") >= F.col("part")) & (F.col("upto") - F.col("sum") < F.col("part")))
-    border = border.select("leaf", "range", (F.col("upto") - F.col("sum")).alias("before"))
+    digits, n = LEAST_DIGITS, slim.count()
+    while n > RANGE_ROWS * 16**digits:
+        digits += 1
+    keyed = slim.withColumn("leaf", leaf).join(hint(given.filter("part > 0").select("leaf", "whole", "part")), "leaf").withColumn("key", key).withColumn("range", F.substring("key", 1, digits))
+    sums = materialize(keyed.groupBy("leaf", "part", "range").agg(F.sum("tokens").alias("sum")), "mix-ranges")
+    border = sums.select("leaf").distinct().select("leaf", F.lit("").alias("found"), F.lit(0).cast("long").alias("before"))
+    upto = Window.partitionBy("leaf").orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for k in range(1, digits + 1):
+        inside = sums.join(hint(border), "leaf").filter(F.substring("range", 1, k - 1) == F.col("found")) if k > 1 else sums.join(hint(border), "leaf")
+        by_digit = inside.groupBy("leaf", "part", "before", F.substring("range", 1, k).alias("digit")).agg(F.sum("sum").alias("sum"))
+        crossed = by_digit.withColumn("upto", F.col("before") + F.sum("sum").over(upto)).filter((F.col("upto") >= F.col("part")) & (F.col("upto") - F.col("sum") < F.col("part")))
+        border = crossed.select("leaf", F.col("digit").alias("found"), (F.col("upto") - F.col("sum")).alias("before"))
+    border = border.select("leaf", F.col("found").alias("range"), "before")
     near = keyed.join(hint(border), ["leaf", "range"])
     inside = Window.partitionBy("leaf").orderBy("key", F.col("doc_id").asc_nulls_first())
     near = near.withColumn("upto", F.col("before") + F.sum("tokens").over(inside)).filter(F.col("upto") >= F.col("part"))

@@ -121,3 +121,14 @@ def test_word_hashes_of_long_texts(monkeypatch):
     small = minhash.word_hashes(texts)
     assert all(np.array_equal(x, y) for x, y in zip(whole, small, strict=True))
     assert whole[1].tolist() == [100, 2, 0, 0, 2] and whole[0][0] == whole[0][-2]
+
+
+def test_mixing_borders_by_any_number_of_digits(spark, docs, monkeypatch):
+    from strandweave.llm import mixing, registry
+
+    picked = lambda: sorted((r.doc_id, r.copies, r.partial_tokens) for r in mixing.selection(*mixing.plan(docs, registry.MIX), registry.MIX).collect())
+    want = picked()
+    monkeypatch.setattr(mixing, "LEAST_DIGITS", 1)
+    assert picked() == want
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 0.01)  # more ranges than rows
+    assert picked() == want
