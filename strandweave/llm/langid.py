@@ -6,15 +6,19 @@ them, are ranked by their counts over the whole text; the out-of-place distance
 profile adds up, over the text's TOP most frequent n-grams, how far each one's place is from
 its place in the profile, or PROFILE where the profile lacks it.  The nearest profile wins;
 equal distances go to the language with more learned rows, then to the smaller name.  The
-score is 1 - distance / greatest possible distance.
+score is 1 - distance / greatest possible distance.  Equal counts are ordered by n-gram.
 
-Profiles are fitted on at most SAMPLE_DOCS documents a language, those with the least
-hashes of doc_id, of at most SAMPLE_BYTES each.
+Words are those of the other operators in the lower-cased text, with their letters only.
+N-grams of many texts are counted at once: letters are numbers, and a trie of all profiles'
+n-grams, as a table of (node, letter), is followed from every place of the texts in step.
+
+Profiles are fitted on whole texts of at most SAMPLE_DOCS documents a language, those with
+the least hashes of id and text; rows that agree in both count once.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is
 everything if there is no row to learn from; letters that no profile has give the
 language with most rows and score 0; null ids are never held out; rows that repeat an id
-are judged each; an empty table gives no rows; other columns play no part.
+are judged each; ids come out as longs; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -27,15 +31,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, words_of
+from .common import WORD_BYTES, held_out, python_table
 
 GRAMS = 4
 PROFILE = 400
 TOP = 300
 SAMPLE_DOCS = 2_000
-SAMPLE_BYTES = 64 << 10
 MAX_LANGUAGES = 1_000
-MAX_WORDS = 300_000
+#: Characters, and texts, that are judged at once.
+CHUNK, TEXTS = 1 << 18, 256
+
+BLANK = ord("_")
+_KIND: list[np.ndarray] = []
+
+
+def kinds() -> np.ndarray:
+    """Of each code point: 0 parts words, 1 is left out of its word, 2 is a letter."""
+    if not _KIND:
+        kind = np.fromiter((2 if chr(c).isalpha() else 1 for c in range(0x110000)), np.uint8, 0x110000)
+        kind[:128] = [0 if WORD_BYTES[c] == 0x20 else k for c, k in enumerate(kind[:128])]
+        _KIND.append(kind)
+    return _KIND[0]
+
+
+def tape(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(letters of all texts with one blank before, between and after words; where each text begins, and the end)."""
+    lowered = [(t or "").lower() for t in texts]
+    points = np.frombuffer("\n".join(["", *lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds()[points]
+    starts = np.cumsum([0, *(len(t) + 1 for t in lowered)])
+    here = kind != 1
+    blank = kind[here] == 0
+    keep = ~blank
+    keep[-1] = True
+    keep[:-1] |= ~blank[1:]  # of blanks in a row the last, which belongs to the text that follows
+    places = np.flatnonzero(here)[keep]
+    out = np.where(kind[places] == 2, points[places], BLANK)
+    return out, np.searchsorted(places, starts)
 
 
 def grams_of(word: str) -> list[str]:
@@ -43,10 +75,6 @@ def grams_of(word: str) -> list[str]:
     return [w[i : i + n] for n in range(1, GRAMS + 1) for i in range(len(w) - n + 1) if w[i : i + n] != "_"]
 
 
-def letters(word: bytes) -> str:
-    return "".join(c for c in word.decode().lower() if c.isalpha())
-
-
 def fit(docs: DataFrame) -> list[tuple[str, int, list[str]]]:
     """(language, rows, n-grams by rank), languages with more rows first."""
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
@@ -55,25 +83,28 @@ def fit(docs: DataFrame) -> list[tuple[str, int, list[str]]]:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     if not sizes:
         return []
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
     share = F.lit(0)
     for lang, n in sizes:
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, SAMPLE_DOCS / n) * (1 << 30)))).otherwise(share)
-    few = rows.filter((F.octet_length("text") <= SAMPLE_BYTES) & (h <= share)).select("lang", "text")
+        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.2 * SAMPLE_DOCS / n) * (1 << 30)))).otherwise(share)
+    few = rows.filter(F.pmod("h", F.lit(1 << 30)) <= share).groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "doc_id"))
+    few = few.withColumn("k", order).filter(F.col("k") <= SAMPLE_DOCS).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict = {}
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by = counts.setdefault(lang, Counter())
-                for w, k in Counter(words_of(text)).items():
-                    if own := letters(w):
-                        for g in grams_of(own):
+            for lang, text in zip(*b.columns, strict=True):
+                by = counts.setdefault(lang.as_py(), Counter())
+                letters, _ = tape([text.as_py()])
+                for word, k in Counter(letters.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split("_")).items():
+                    if word:
+                        for g in grams_of(word):
                             by[g] += k
         for lang, by in counts.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(by)), pa.array(list(by)), pa.array(list(by.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    sums = few.mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = python_table(few.mapInArrow(run, "lang string, gram string, n bigint"), "grams").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best: dict = {}
     for r in sums.withColumn("r", rank).filter(F.col("r") <= PROFILE).collect():
@@ -82,46 +113,70 @@ def fit(docs: DataFrame) -> list[tuple[str, int, list[str]]]:
 
 
 class Judge:
-    """Out-of-place distances to profiles; n-grams of words are kept between texts."""
+    """Out-of-place distances to profiles."""
 
     def __init__(self, profiles: list[tuple[str, int, list[str]]]):
         self.names = [p[0] for p in profiles]
-        self.index = {g: i for i, g in enumerate(sorted({g for p in profiles for g in p[2]}))}
-        self.place = np.full((len(profiles), len(self.index)), -1, np.int32)
+        grams = sorted({g for p in profiles for g in p[2]})
+        index = {g: i for i, g in enumerate(grams)}
+        self.n = len(grams)
+        self.place = np.full((len(profiles), self.n), -1, np.int32)
         for k, p in enumerate(profiles):
             for r, g in enumerate(p[2]):
-                self.place[k, self.index[g]] = r
-        self.known: dict = {}
-
-    def ids(self, word: bytes):
-        """Ids of the word's n-grams; None for a word without letters."""
-        own = letters(word)
-        if not own:
-            return None
-        return np.array([self.index[g] for g in grams_of(own) if g in self.index], np.int32)
+                self.place[k, index[g]] = r
+        # Letters are numbers from 1, 0 stands for all that no profile has; node 0 is where no n-gram goes on, 1 the root.
+        points = sorted({ord(c) for g in grams for c in g})
+        self.number = np.zeros(0x110000, np.uint16)
+        self.number[points] = np.arange(1, len(points) + 1)
+        wide, step, gram = len(points) + 1, {}, {}
+        nodes = 2
+        for g in grams:
+            at = 1
+            for c in g:
+                key = at, int(self.number[ord(c)])
+                if key not in step:
+                    step[key] = nodes
+                    nodes += 1
+                at = step[key]
+            gram[at] = index[g]
+        self.step = np.zeros((nodes, wide), np.int32)
+        for (at, c), to in step.items():
+            self.step[at, c] = to
+        self.gram = np.full(nodes, -1, np.int32)
+        for at, i in gram.items():
+            self.gram[at] = i
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words, known = words_of(text), self.known
-        if len(known) > MAX_WORDS:
-            known.clear()
-        found = []
-        for w in words:
-            a = known.get(w, self)
-            if a is self:
-                a = known[w] = self.ids(w)
-            if a is not None:
-                found.append(a)
-        if not found or not self.names:
-            return "und", 0.0
-        count = np.bincount(np.concatenate(found), minlength=len(self.index))
-        order = np.argsort(-count, kind="stable")[:TOP]
-        order = order[count[order] > 0]
-        if not len(order):
-            return self.names[0], 0.0
-        place = self.place[:, order]
-        far = np.where(place < 0, PROFILE, np.abs(place - np.arange(len(order)))).sum(1)
-        k = int(far.argmin())
-        return self.names[k], float(max(0.0, 1.0 - far[k] / (PROFILE * len(order))))
+        return self.judge([text])[0]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        letters, starts = tape(texts)
+        own = np.diff(np.searchsorted(np.flatnonzero(letters != BLANK), starts)) > 0
+        if not self.names:
+            return [("und", 0.0)] * len(texts)
+        if not self.n:
+            return [(self.names[0], 0.0) if o else ("und", 0.0) for o in own]
+        doc = np.repeat(np.arange(len(texts)), np.diff(starts))
+        c = self.number[letters[: starts[-1] + 1]]
+        cells, node = [], np.ones(len(c), np.int32)
+        for k in range(GRAMS):
+            node = self.step[node[: len(c) - k], c[k:]]
+            at = np.flatnonzero(self.gram[node[: len(doc)]] >= 0)
+            cells.append(doc[at] * self.n + self.gram[node[at]])
+        count = np.bincount(np.concatenate(cells), minlength=len(texts) * self.n).reshape(len(texts), self.n)
+        # Larger counts first, of equal ones the n-gram that comes first: one number that orders both.
+        order = np.sort(-(count * self.n + np.arange(self.n - 1, -1, -1)), axis=1)[:, :TOP]
+        taken = -order >= self.n  # a count of at least one
+        gram = self.n - 1 + order % -self.n
+        far = np.empty((len(self.names), len(texts)), np.int64)
+        for k, place in enumerate(self.place[:, gram]):
+            far[k] = (np.where(place < 0, PROFILE, np.abs(place - np.arange(gram.shape[1]))) * taken).sum(1)
+        n, best = taken.sum(1), far.argmin(0)
+        least = far[best, np.arange(len(texts))]
+        return [
+            ("und", 0.0) if not o else (self.names[0], 0.0) if not m else (self.names[b], max(0.0, 1.0 - d / (PROFILE * m)))
+            for o, m, b, d in zip(own.tolist(), n.tolist(), best.tolist(), least.tolist(), strict=True)
+        ]
 
 
 def predict(docs: DataFrame, profiles: list[tuple[str, int, list[str]]]) -> DataFrame:
@@ -131,7 +186,16 @@ def predict(docs: DataFrame, profiles: list[tuple[str, int, list[str]]]) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for b in batches:
-            out = [judge(t.as_py()) for t in b.column(2)]
+            out, texts, held = [], [], 0
+            for t in b.column(2):
+                texts.append(t.as_py())
+                held += len(texts[-1] or "")
+                if held >= CHUNK or len(texts) >= TEXTS:
+                    out += judge.judge(texts)
+                    texts, held = [], 0
+            if texts:
+                out += judge.judge(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
+    return python_table(rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double"), "languages")

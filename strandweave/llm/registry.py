@@ -181,6 +181,30 @@ def _crc_table() -> list[int]:
     return out
 
 
+def _crc_sql(text: str) -> str:
+    """crc32 of a string's bytes, unsigned."""
+    listed = "[" + ", ".join(map(str, _crc_table())) + "]"
+    bytes_ = f"list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex({text}), '..'), lambda x: ('0x' || x)::BIGINT))"
+    return f"xor(4294967295, list_reduce({bytes_}, lambda c, x: xor(c >> 8, ({listed}::BIGINT[])[(xor(c, x) & 255) + 1])))"
+
+
+def _language_sql() -> str:
+    """Valid where no language has more than SAMPLE_DOCS rows to learn from: the sample is then all of them."""
+    p = langid
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, text IS NOT NULL AS has, lower(coalesce(text, '')) AS t, coalesce({_crc_sql("coalesce(doc_id::VARCHAR, '')")} % 4 = 2 AND doc_id IS NOT NULL, false) AS held_out FROM documents),
+w AS (SELECT r, word, count(*) AS k FROM (SELECT r, regexp_replace(unnest(regexp_split_to_array(t, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')), '[^\\p{{L}}]', '', 'g') AS word FROM d) WHERE word <> '' GROUP BY ALL),
+x AS (SELECT word, substr(w, i, n) AS gram, count(*) AS m FROM (SELECT word, '_' || word || '_' AS w, n, unnest(range(1, length(word) + 4 - n)) AS i FROM (SELECT DISTINCT word FROM w), range(1, {p.GRAMS + 1}) AS s(n)) WHERE substr(w, i, n) <> '_' GROUP BY ALL),
+g AS (SELECT r, gram, sum(k * m) AS n FROM w JOIN x USING (word) GROUP BY ALL),
+f AS (SELECT DISTINCT ON (lang, doc_id, t) r, lang FROM d WHERE NOT held_out AND lang IS NOT NULL AND has),
+z AS (SELECT lang, count(*) AS n FROM d WHERE NOT held_out AND lang IS NOT NULL AND has GROUP BY lang),
+prof AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) - 1 AS place FROM g JOIN f USING (r) GROUP BY lang, gram QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) <= {p.PROFILE}),
+top AS (SELECT r, gram, row_number() OVER (PARTITION BY r ORDER BY n DESC, gram) - 1 AS own FROM g WHERE gram IN (SELECT gram FROM prof) QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, gram) <= {p.TOP}),
+far AS (SELECT r, z.lang, z.n, count(*) AS m, sum(CASE WHEN place IS NULL THEN {p.PROFILE} ELSE abs(place - own) END)::BIGINT AS dist FROM top CROSS JOIN z LEFT JOIN prof ON prof.lang = z.lang AND prof.gram = top.gram GROUP BY ALL),
+best AS (SELECT r, lang, greatest(0.0::DOUBLE, 1.0::DOUBLE - dist / ({p.PROFILE} * m)::DOUBLE) AS score FROM far QUALIFY row_number() OVER (PARTITION BY r ORDER BY dist, n DESC, lang) = 1)
+SELECT doc_id, held_out, CASE WHEN r NOT IN (SELECT r FROM w) THEN 'und' ELSE coalesce(best.lang, (SELECT lang FROM z ORDER BY n DESC, lang LIMIT 1), 'und') END AS lang_pred, coalesce(score, 0.0::DOUBLE) AS score FROM d LEFT JOIN best USING (r)"""
+
+
 def _descent_sql(name: str, tree: sharding.Tree) -> str:
     """Common table expressions that end in ``name`` (key, leaf): the first draw that counts, of every key."""
     if tree.weights:
@@ -201,11 +225,8 @@ def _descent_sql(name: str, tree: sharding.Tree) -> str:
 
 def _sharding_sql() -> str:
     tree, grown = sharding.Tree(SHARDS), sharding.Tree(SHARDS + 1)
-    listed = "[" + ", ".join(map(str, _crc_table())) + "]"
-    bytes_ = "list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT)"
     return f"""
-WITH b AS (SELECT doc_id, (strlen(coalesce(text, '')) + 8)::BIGINT AS size, list_prepend(4294967295::BIGINT, {bytes_}) AS bytes FROM documents),
-c AS (SELECT doc_id, size, xor(4294967295, list_reduce(bytes, lambda c, x: xor(c >> 8, ({listed}::BIGINT[])[(xor(c, x) & 255) + 1]))) AS text_crc32 FROM b),
+WITH c AS (SELECT doc_id, (strlen(coalesce(text, '')) + 8)::BIGINT AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents),
 d AS (SELECT *, CASE WHEN doc_id IS NULL THEN 'null ' || text_crc32 ELSE doc_id::VARCHAR END AS key FROM c),{_descent_sql('now', tree)}{_descent_sql('more', grown)}
 z AS (SELECT d.*, now.leaf AS shard, more.leaf AS grown_shard, md5('{tree.seed}|slot|' || key || '|' || text_crc32) AS h FROM d JOIN now USING (key) JOIN more USING (key))
 SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, (row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, grown_shard::INTEGER AS grown_shard,
@@ -213,4 +234,4 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, (row_num
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_sharding": _sharding_sql(), "op1_mixing": _mixing_sql(), "op2_decontamination": _DECONTAM_SQL, "op6_topk": _TOPK_SQL, "op8_url_filter": _url_sql()}
+    return {"op7_language": _language_sql(), "op10_sharding": _sharding_sql(), "op1_mixing": _mixing_sql(), "op2_decontamination": _DECONTAM_SQL, "op6_topk": _TOPK_SQL, "op8_url_filter": _url_sql()}

@@ -132,3 +132,46 @@ def test_mixing_borders_by_any_number_of_digits(spark, docs, monkeypatch):
     assert picked() == want
     monkeypatch.setattr(mixing, "RANGE_ROWS", 0.01)  # more ranges than rows
     assert picked() == want
+
+
+def test_languages_of_many_texts_at_once():
+    """Texts that are judged together get what each gets alone, and what plain counting gives."""
+    import random
+    from collections import Counter
+
+    from strandweave.llm import langid
+
+    from .test_operators import plain_words
+
+    rnd = random.Random(7)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 7)))
+    texts = [" ".join(word(rnd.choice(("abcé", "bcdß", "xyz1.,_ "))) for _ in range(rnd.randint(0, 40))) + rnd.choice(("", ".", " ", "!? ")) for _ in range(200)]
+    texts += [None, "", "123", "中", "İSTANBUL", "a", "..a..", "\n", "ΑΣ", "x" * 5000]
+
+    def grams(text):
+        out = Counter()
+        for w in plain_words((text or "").lower()):
+            w = "".join(c for c in w if c.isalpha())
+            if w:
+                out.update(langid.grams_of(w))
+        return out
+
+    profiles = []
+    for lang, own in (("p", texts[:50]), ("q", texts[50:90])):
+        total = sum((grams(t) for t in own), Counter())
+        profiles.append((lang, len(own), [g for g, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[: langid.PROFILE]]))
+    judge = langid.Judge(profiles)
+    known = {g for p in profiles for g in p[2]}
+
+    def plain(text):
+        count = grams(text)
+        if not count:
+            return "und", 0.0
+        top = [g for g, _ in sorted(((g, n) for g, n in count.items() if g in known), key=lambda x: (-x[1], x[0]))[: langid.TOP]]
+        if not top:
+            return "p", 0.0
+        far = [sum(abs(p[2].index(g) - k) if g in p[2] else langid.PROFILE for k, g in enumerate(top)) for p in profiles]
+        return profiles[far.index(min(far))][0], max(0.0, 1 - min(far) / (langid.PROFILE * len(top)))
+
+    together = judge.judge(texts)
+    assert together == [judge(t) for t in texts] == [plain(t) for t in texts]
