@@ -9,19 +9,22 @@ that a task's second attempt replaces the first:
     frame k takes bytes offsets[k] to offsets[k + 1] and holds counts[k] ids, so one
     document is read with the index columns, a slice of payload and the dictionary.
 Segments ascend by doc_id over (part, seg).  A segment ends at SEGMENT_BYTES or
-SEGMENT_DOCS.  Global starts come from a running sum over the parts (as many as
-shuffle partitions at most), ``before``, and a running sum in the segment.
+SEGMENT_DOCS.  Parts are ranges of (doc_id, checksum of the text, a number of the row), one for
+about PART_BYTES of text, so that an id or a text that many rows share is dealt over parts.
+Global starts come from a running sum over the parts, ``before``, and a running sum in the segment.
 
-Pieces of texts are encoded once and kept, see ``Encoder``.
+With a tokenizer of the known kind pieces of texts are encoded once and kept, see ``Encoder``;
+with any other whole texts are encoded.
 
 Defined results: a null text is an empty one and holds only the end id; null ids come
 first; rows that repeat an id follow each other by checksum of their text; an empty
-table writes no segments.
+table writes no segments; other columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import sys
@@ -36,12 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import python_table, shared_dir, text_batches
 
 END_ID = 1
 SEGMENT_BYTES = 4 << 20
 SEGMENT_DOCS = 2048
 MAX_WORDS = 600_000
+#: Bytes of text of a part, on average; parts up to this count are broadcast with their starts.
+PART_BYTES = 32 << 20
+MAX_BROADCAST_PARTS = 100_000
 #: Bound of the sample that the dictionary is trained on, and the dictionary's size.
 SAMPLE_DOCS = 2_000
 SAMPLE_BYTES = 32 << 10
@@ -50,6 +56,12 @@ LEVEL = 3
 
 _BEFORE_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 _LATIN = "\u0250"
+# The steps before the model of the tokenizer that pieces are right for.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
 _END = END_ID.to_bytes(4, "little")
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 _ENCODERS: dict[str, Encoder] = {}
@@ -58,8 +70,16 @@ SEGMENT = "part int, seg int, dict_sha256 string, doc_ids array<bigint>, offsets
 READ = "doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint, ids array<bigint>"
 
 
+def in_pieces(path: str) -> bool:
+    """Whether a tokenizer's ids of a text are those of its pieces: its steps are the known ones and nothing else touches ids."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    same = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _SPLIT and not any(spec.get(k) for k in ("post_processor", "truncation", "padding"))
+    return same and not spec["model"].get("dropout") and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+
+
 class Encoder:
-    """Serialized ids of whole texts, by pieces that are kept between calls.
+    """Serialized ids of whole texts, where the tokenizer is of the known kind by pieces that are kept between calls.
 
     Texts are cut at spaces, tabs and line feeds, and before a full stop or comma that
     stands between an ASCII letter and white space; the tokenizer cuts there too, so a
@@ -72,6 +92,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
+        self.pieced = in_pieces(path)
         self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
         # Lower-case Latin letters in composed form pass normalizing and splitting as they are.
         self.letters.normalizer = None
@@ -87,7 +108,13 @@ class Encoder:
             text = _BEFORE_MARK.sub(rb" \1", text.encode().lower()).decode()
         return text.replace("\n", " ").replace("\t", " ").split(" ")
 
+    @staticmethod
+    def serialized(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if not self.pieced:
+            return [self.serialized(e.ids) + _END for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         split = [self.pieces(t) for t in texts]
         if len(self.young) > MAX_WORDS:
             self.young, self.old = {"": b""}, self.young
@@ -103,7 +130,7 @@ class Encoder:
             for i in range(0, len(words), 2048):
                 part = words[i : i + 2048]
                 for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    young[w] = array("I", e.ids).tobytes() if _LITTLE else np.array(e.ids, "<u4").tobytes()
+                    young[w] = self.serialized(e.ids)
         return [b"".join(map(young.__getitem__, ws)) + _END for ws in split]
 
 
@@ -157,8 +184,8 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, fields, strict=True)], schema=pa.schema(fields))
 
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                few = b.slice(k, 256)
+            for k in range(0, b.num_rows, 64):
+                few = b.slice(k, 64)
                 for doc, a in zip(few.column(0).to_pylist(), encode(few.column(1).to_pylist()), strict=True):
                     payload += press.compress(a)
                     ids.append(doc)
@@ -174,9 +201,12 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
     fields = [pa.field("part", pa.int32()), pa.field("seg", pa.int32()), pa.field("dict_sha256", pa.string()), pa.field("doc_ids", pa.list_(pa.int64())),
               pa.field("offsets", pa.list_(pa.int32())), pa.field("counts", pa.list_(pa.int32())), pa.field("before", pa.int64()),
               pa.field("n_ids", pa.int64()), pa.field("payload", pa.binary())]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32(F.col("text").cast("binary")))
-    dealt.mapInArrow(run, SEGMENT).write.parquet(f"{path}/segments")
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(-(-size // PART_BYTES), spark.sparkContext.defaultParallelism)
+    order = [F.col("doc_id").asc_nulls_first(), F.crc32(F.col("text").cast("binary")).asc_nulls_first(), F.xxhash64("row")]
+    dealt = slim.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    with text_batches(spark):
+        dealt.select("doc_id", "text").mapInArrow(run, SEGMENT).write.parquet(f"{path}/segments")
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -194,7 +224,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         undo = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared.value))
         for b in batches:
-            for row in b.to_pylist():
+            for k in range(b.num_rows):  # a segment at a time, of at most SEGMENT_BYTES and one document
+                row = b.slice(k, 1).to_pylist()[0]
                 if row["dict_sha256"] != sha:
                     raise ValueError(f"segment {row['part']}.{row['seg']} was written with another dictionary")
                 raw = [undo.decompress(row["payload"][a:z]) for a, z in zip(row["offsets"], row["offsets"][1:], strict=False)]
@@ -207,11 +238,12 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                     pa.array([np.frombuffer(x, "<u4").astype(np.int64) if with_ids else None for x in raw], pa.list_(pa.int64())),
                 ], names=["doc_id", "at", "n_tokens", "ids_crc32", "ids"])
 
-    out = segments.join(F.broadcast(parts), "part").mapInArrow(run, READ)
+    few = totals.count() <= MAX_BROADCAST_PARTS
+    out = segments.join(F.broadcast(parts) if few else parts.hint("merge"), "part").mapInArrow(run, READ)
     return out.select("doc_id", F.col("at").alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     write(docs, tokenizer, path)
-    return read(docs.sparkSession, path)
+    return python_table(read(docs.sparkSession, path), "token-index")

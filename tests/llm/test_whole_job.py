@@ -175,3 +175,29 @@ def test_languages_of_many_texts_at_once():
 
     together = judge.judge(texts)
     assert together == [judge(t) for t in texts] == [plain(t) for t in texts]
+
+
+def test_token_files_with_any_tokenizer(spark, tmp_path):
+    """The fast way is taken for the tokenizer it is right for; ids are the library's with both."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from strandweave.llm import tokenbin
+
+    texts = ["Hello, World. it's  FINE\n\ttabs", None, "", "<|endoftext|> x", "naïve Straße 中文   ́a", "x." * 50]
+    data = [(i, t) for i, t in enumerate(texts)] + [(7, "same")] * 40 + [(None, "none")] * 20
+    docs = spark.createDataFrame(data, "doc_id int, text string").repartition(3)
+    for k, name in enumerate(("word_bpe_49k.json", "byte_bpe_50k.json")):
+        path = public_tokenizers.path(name)
+        assert tokenbin.in_pieces(path) == (k == 0)
+        tokenbin.write(docs, path, f"{tmp_path}/{k}")
+        got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in tokenbin.read(spark, f"{tmp_path}/{k}").collect()))
+        own, want, start = Tokenizer.from_file(path), [], 0
+        for i, t in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0)):
+            ids = own.encode(t or "", add_special_tokens=False).ids + [1]
+            want.append((i is not None, i or 0, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+        assert got == want
