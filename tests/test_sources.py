@@ -89,3 +89,20 @@ def test_tree(spark):
     many = "(" + " ".join(f"s{i}" for i in range(130)) + ")"
     assert tree.load(spark, many).filter("parent_id is null").first().profile == [2**63 - 1, 2**63 - 1, 2**4 - 1]
     assert tree.parse(tree.nested([(1, "root", []), (2, "x", ["a", "b"]), (2, "y", ["c"])]))[0].bits == 0b111
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from strandweave import storage
+
+    root = storage.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    with storage.scratch(spark):
+        a = storage.materialize(spark.range(3), "a")
+        kept = storage.materialize(a.select((F.col("id") + 1).alias("n")), "b", keep=True)
+        assert a.count() == 3
+    left = set(os.listdir(root)) - before
+    assert len(left) == 1 and left.pop().startswith("b-") and sorted(r.n for r in kept.collect()) == [1, 2, 3]
