@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize, shared_dir, table
+from ..storage import materialize, scratch, shared_dir, table
 
 #: Rows that a key needs before ``skew_safe_join`` treats it as hot, and the share
 #: of all rows; together they prove that at most 1 / HOT_SHARE keys are hot.
@@ -81,4 +81,4 @@ def skew_safe_join(facts: DataFrame, dims: DataFrame, key: str, rows: str) -> Da
     )
 
 
-__all__ = ["WORD_BYTES", "held_out", "materialize", "python_table", "shared_dir", "skew_safe_join", "table", "text_batches", "words_of"]
+__all__ = ["WORD_BYTES", "held_out", "materialize", "python_table", "scratch", "shared_dir", "skew_safe_join", "table", "text_batches", "words_of"]

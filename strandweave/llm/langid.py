@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, held_out, python_table
+from .common import WORD_BYTES, held_out, python_table, scratch
 
 GRAMS = 4
 PROFILE = 400
@@ -77,6 +77,11 @@ def grams_of(word: str) -> list[str]:
 
 def fit(docs: DataFrame) -> list[tuple[str, int, list[str]]]:
     """(language, rows, n-grams by rank), languages with more rows first."""
+    with scratch(docs.sparkSession):
+        return _fit(docs)
+
+
+def _fit(docs: DataFrame) -> list[tuple[str, int, list[str]]]:
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = sorted(((r[0], r[1]) for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()), key=lambda r: (-r[1], r[0]))
     if len(sizes) > MAX_LANGUAGES:

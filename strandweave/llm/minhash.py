@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, materialize, python_table, skew_safe_join
+from .common import WORD_BYTES, materialize, python_table, scratch, skew_safe_join
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -294,17 +294,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Least labels over neighbours, then the label's own label; hubs are summed before they are shuffled.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "cc")
-    while True:
-        seen = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
-        step = labels.join(seen, labels.id == seen.n).select("id", F.col("label").alias("old"), F.least("label", "near").alias("to"))
-        up = labels.select(F.col("id").alias("u"), F.col("label").alias("up"))
-        step = step.join(up, step["to"] == up["u"], "left").select("id", "old", F.least("to", F.coalesce("up", "to")).alias("label"))
-        new = materialize(step, "cc")
-        labels = new.select("id", "label")
-        if not new.filter(F.col("old") != F.col("label")).take(1):
-            return labels
+    with scratch(edges.sparkSession):
+        both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
+        labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "cc")
+        while True:
+            seen = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
+            step = labels.join(seen, labels.id == seen.n).select("id", F.col("label").alias("old"), F.least("label", "near").alias("to"))
+            up = labels.select(F.col("id").alias("u"), F.col("label").alias("up"))
+            step = step.join(up, step["to"] == up["u"], "left").select("id", "old", F.least("to", F.coalesce("up", "to")).alias("label"))
+            new = materialize(step, "cc")
+            labels = new.select("id", "label")
+            if not new.filter(F.col("old") != F.col("label")).take(1):
+                return materialize(labels, "cc", keep=True)
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -434,7 +435,12 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """doc_id, class_id, node_id, n_links of rows with unique ids (doc_id, text)."""
+    """doc_id, class_id, node_id, n_links of rows with unique ids (doc_id, text); of all tables on the way only this one stays."""
+    with scratch(rows.sparkSession):
+        return materialize(_worked(rows), "classes", keep=True)
+
+
+def _worked(rows: DataFrame) -> DataFrame:
     signed = python_table(rows.mapInArrow(_sign, NODES), "signed")
     nodes = materialize(signed.groupBy("node_key").agg(F.min("doc_id").alias("node_id"), F.count(F.lit(1)).alias("n_docs")), "nodes")
     reps = signed.join(nodes.select("node_id"), signed.doc_id == nodes.node_id, "left_semi").filter(F.col("bands").isNotNull())

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, held_out, materialize, python_table
+from .common import WORD_BYTES, held_out, materialize, python_table, scratch
 from .transducer import FIXED_WEIGHT, INSULT, NEGATED, NEGATION, OTHER, REPORT, REPORTED, TARGET, TARGETED, THREAT, Grammar
 
 # Words of the grammar's classes.
@@ -262,6 +262,11 @@ def explained(lexicon: dict, held: list[tuple[int, list[bytes]]], toxic: int, ha
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The lexicon of all sampled rows; the logistic function of evidence by lexicons of the other half."""
+    with scratch(docs.sparkSession):
+        return _fit(docs, labels)
+
+
+def _fit(docs: DataFrame, labels: DataFrame) -> dict:
     rows = sample(docs, labels).select("text", "toxic", "half")
     sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("half", "toxic").count().collect()}
     toxic = [sizes.get((h, 1), 0) for h in (0, 1)]
