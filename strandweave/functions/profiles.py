@@ -9,7 +9,17 @@ BITS = 63
 
 
 def bit(species_no: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), species_no.cast("int"))
+    """A profile of one species; numbers outside of 0 to BITS - 1 are refused, as they would stand for other species."""
+    fits = species_no.between(0, BITS - 1) | species_no.isNull()
+    shifted = F.call_function("shiftleft", F.lit(1).cast("bigint"), species_no.cast("int"))
+    return F.when(fits, shifted).otherwise(F.raise_error(F.concat(F.lit(f"a species number outside of 0 to {BITS - 1}: "), species_no.cast("string"))).cast("bigint"))
+
+
+def words(species_nos: Column) -> Column:
+    """Of an array of species numbers, the profile in words of BITS bits: any number of species."""
+    size = F.coalesce(F.floor(F.array_max(species_nos) / BITS).cast("int") + 1, F.lit(0))
+    one = lambda k: F.aggregate(F.filter(species_nos, lambda x: F.floor(x / BITS) == k), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (x % BITS).cast("int"))))
+    return F.when(size > 0, F.transform(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), one)).otherwise(F.array().cast("array<bigint>"))
 
 
 def union(profile: Column) -> Column:
@@ -51,20 +61,26 @@ def weighted_count(profile: Column, weights: list[float], once: list[int] = [],
     return out
 
 
+def shares(shared, first, second, ratio: float, weak: float = 0.0, balance: float | None = None):
+    """(alike, strong, doubtful) of two children's species counts, as numbers or Columns.
+
+    alike: both have one species, the same; strong: they share more than ``ratio`` of either's;
+    doubtful: more than ``weak`` of either's, or one has less than ``balance`` of the other's
+    (without these two settings every pair is).
+    """
+    over = lambda part: (shared > first * part) | (shared > second * part)
+    doubtful = (first < first + 1) if not weak and balance is None else (first < 0)
+    if weak:
+        doubtful = doubtful | over(weak)
+    if balance is not None:
+        doubtful = doubtful | (first < second * balance) | (second < first * balance)
+    return (shared == 1) & (first == 1) & (second == 1), over(ratio), doubtful
+
+
 def duplication(p0: Column, p1: Column, p2: Column, ratio: float, weak: float = 0.0, balance: float | None = None, ignored: int = 0) -> Column:
     """1: the children share too many species and are cut apart, 0: they stay, 2: to be decided by distance."""
-    m, a, b = common(p1, p2, ignored), count(p1, ignored), count(p2, ignored)
-    strong = (m > a * F.lit(ratio)) | (m > b * F.lit(ratio))
-    if not weak and balance is None:
-        rest = F.lit(2)
-    else:
-        doubt = F.lit(False)
-        if weak:
-            doubt = doubt | (m > a * F.lit(weak)) | (m > b * F.lit(weak))
-        if balance is not None:
-            doubt = doubt | (F.least(a, b) < F.greatest(a, b) * F.lit(balance))
-        rest = F.when(doubt, 2).otherwise(0)
-    return F.when(m * a * b == 1, 0).when(strong, 1).otherwise(rest).cast("int")
+    alike, strong, doubtful = shares(common(p1, p2, ignored), count(p1, ignored), count(p2, ignored), ratio, weak, balance)
+    return F.when(alike, 0).when(strong, 1).when(doubtful, 2).otherwise(0).cast("int")
 
 
 def words_union(a: Column, b: Column) -> Column:

@@ -9,11 +9,11 @@ the new ones, a missing edge counting with the missing value.
 from __future__ import annotations
 
 import heapq
+import struct
+from collections import deque
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-import numpy as np
-
 from ..params import Params
 from .geometry import HIGH, LOW, Region, consistent, hull, known, least_overlap, mean, mean_region, meets, moved_region, shared, side, size
 
@@ -94,7 +94,7 @@ class Buckets:
         value = e.score if self.p.by_score else e.dist
         k = round((value - self.low) * self.p.dist_scale)
         if k not in self.held:
-            self.held[k] = []
+            self.held[k] = deque()
             heapq.heappush(self.heap, -k if self.p.by_score else k)
         self.held[k].append(e)
 
@@ -103,7 +103,7 @@ class Buckets:
             k = -self.heap[0] if self.p.by_score else self.heap[0]
             held = self.held[k]
             while held:
-                e = held.pop() if self.p.by_score else held.pop(0)
+                e = held.pop() if self.p.by_score else held.popleft()
                 if not e.dead:
                     return e
             del self.held[k]
@@ -111,8 +111,12 @@ class Buckets:
         return None
 
 
+_FLOAT = struct.Struct("f")
+
+
 def single(x: float) -> float:
-    return float(np.float32(x))
+    """x as a 32-bit float has it."""
+    return _FLOAT.unpack(_FLOAT.pack(x))[0]
 
 
 class Linkage:
@@ -185,11 +189,18 @@ class Linkage:
         shape = Shape(self, best, thirds)
         new = self.new_nodes(best, shape)
         made: list[Edge] = []
+        counts = [(a.count * (k in (0, 1, 3)), b.count * (k in (0, 2, 4))) for k in range(SLOTS)]
+        # Where a third has an edge to one of the two nodes, its new alignments follow from that edge's regions alone.
+        seen: dict[tuple, list] = {}
         for t in thirds:
-            for k, (on_new, on_third) in t.alignments(shape).items():
-                if new[k] is None:
-                    continue
-                n, m = a.count * (k in (0, 1, 3)), b.count * (k in (0, 2, 4))
+            key = None if t.both else (t.a13, t.a31, t.a23, t.a32, t.spurious)
+            found = None if key is None else seen.get(key)
+            if found is None:
+                found = [(k, *x) for k, x in t.alignments(shape).items() if new[k] is not None]
+                if key is not None:
+                    seen[key] = found
+            for k, on_new, on_third in found:
+                n, m = counts[k]
                 dist = single((t.dist1 * n + t.dist2 * m) / (n + m))
                 score = single((t.score1 * n + t.score2 * m) / (n + m))
                 made.append(self.connect(new[k].id, t.node.id, on_new, on_third, dist, score))
@@ -251,6 +262,8 @@ class Linkage:
 class Third:
     """A node that has an edge to one or both of the nodes that are merged."""
 
+    __slots__ = ("a13", "a23", "a31", "a32", "best", "both", "dist1", "dist2", "e1", "e2", "g", "node", "score1", "score2", "spurious")
+
     def __init__(self, g: Linkage, best: Edge, third: int):
         p = g.p
         self.g, self.best, self.node = g, best, g.nodes[third]
@@ -259,6 +272,7 @@ class Third:
         self.a23, self.a32 = self.e2.seen_from(best.n2) if self.e2 else (None, None)
         self.score1, self.dist1 = (self.e1.score, self.e1.dist) if self.e1 else (p.miss_score, p.miss_dist)
         self.score2, self.dist2 = (self.e2.score, self.e2.dist) if self.e2 else (p.miss_score, p.miss_dist)
+        self.both = self.e1 is not None and self.e2 is not None
         # The third follows one of the two on a gene and is similar to the other elsewhere: not the same domain.
         self.spurious = False
         if self.e1 and not self.e2 and g.linked(best.n2, third):
@@ -266,10 +280,6 @@ class Third:
         elif self.e2 and not self.e1 and g.linked(best.n1, third):
             self.spurious = meets(self.a23, best.a2, p) != 0
 
-    @property
-    def both(self) -> bool:
-        return self.e1 is not None and self.e2 is not None
-
     def agrees(self) -> bool:
         return consistent(self.best.a1, self.best.a2, self.a13, self.a31, self.a23, self.a32, self.g.p)
 

@@ -2,28 +2,30 @@
 
 No state of the agglomeration crosses components of the admitted edges, so the kernel runs
 for each component on its own, and components are spread over the cluster.  Phase one links
-(``link``), phase two cuts (``cut``); what lies between is a table of linked components,
-which can be written and cut again with other parameters.
+(``link``), phase two cuts (``cut``); what lies between is a table of linked components, their
+nodes and neighbour links as plain columns, which can be written, read elsewhere and cut again
+with other parameters.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..kernel import component as kernel
 from ..params import Params
-from ..schemas import DOMAINS, TREE
+from ..schemas import DOMAINS, LINKED, TREE
 from .components import components
 
 #: Edges of one component that a task takes; more are refused, as one component is one call.
 MAX_EDGES = 5_000_000
 SCHEMAS = {"domains": DOMAINS, "tree": TREE, "newick": "component bigint, cluster_id bigint, newick string"}
-LINKED = "component bigint, n_edges bigint, state binary"
 
 
 class ComponentTooLarge(ValueError):
@@ -31,7 +33,7 @@ class ComponentTooLarge(ValueError):
 
 
 def link(genes: DataFrame, edges: DataFrame, params: Params, max_edges: int = MAX_EDGES) -> DataFrame:
-    """(component, n_edges, state) of genes (species, gene, length[, trunc]) and admitted edges (id1, id2, from1..to2, score[, dist])."""
+    """LINKED of genes (species, gene, length[, trunc]) and admitted edges (id1, id2, from1..to2, score[, dist])."""
     labels = components(edges.select("id1", "id2"))
     tagged = edges.join(labels.select(F.col("id").alias("id1"), F.col("label").alias("component")), "id1")
     worst = tagged.groupBy("component").count().agg(F.max("count")).first()[0] or 0
@@ -50,18 +52,21 @@ def link(genes: DataFrame, edges: DataFrame, params: Params, max_edges: int = MA
         g = kernel.link(
             list(own[["species", "gene", "length", "trunc"]].itertuples(index=False, name=None)),
             list(hits[["id1", "id2", "from1", "to1", "from2", "to2", "dist", "score"]].itertuples(index=False, name=None)), params, low)
-        return pd.DataFrame({"component": [int(own["component"].iloc[0])], "n_edges": [len(hits)], "state": [pickle.dumps(g)]})
+        nodes, links = kernel.dump(g)
+        return pd.DataFrame({"component": [int(own["component"].iloc[0])], "n_edges": [len(hits)], "nodes": [nodes], "links": [links]})
 
     return nodes.groupBy("component").cogroup(lines.groupBy("component")).applyInPandas(run, LINKED)
 
 
-def cut(linked: DataFrame, params: Params | None, kind: str) -> DataFrame:
-    """The table ``kind`` (domains, tree or newick) of linked components."""
+def cut(linked: DataFrame, params: Params, kind: str) -> DataFrame:
+    """The table ``kind`` (domains, tree or newick) of linked components, cut by ``params``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for component, state in zip(b["component"], b["state"], strict=True):
-                # The state comes from this module's own table.
-                yield kernel.frame(kind, kernel.rows(int(component), pickle.loads(state), params))
+            for k in range(b.num_rows):
+                component, nodes, links = (b.column(c)[k].as_py() for c in range(3))
+                g = kernel.restore(nodes, links, params)
+                yield pa.RecordBatch.from_pandas(kernel.frame(kind, kernel.rows(component, g, params)), schema=arrow, preserve_index=False)
 
-    return linked.select("component", "state").mapInPandas(run, SCHEMAS[kind])
+    arrow = to_arrow_schema(StructType.fromDDL(SCHEMAS[kind]))
+    return linked.select("component", "nodes", "links").mapInArrow(run, SCHEMAS[kind])

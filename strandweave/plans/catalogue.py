@@ -287,7 +287,7 @@ def interval_relation13(spark, d):
     return _hits(spark, d).select("id1", "id2", regions.relation(*_ends(), F.lit(10)).alias("relation"))
 
 
-_MATRIX = "[" + ", ".join(f"'{r}'" for r in regions.EQUIVALENT) + "]"
+_MATRIX = "[" + ", ".join("'" + "".join("01"[k in same] for k in regions.EQUIVALENT) + "'" for same in regions.EQUIVALENT.values()) + "]"
 
 
 @query(f"""WITH {_SIDES_SQL}, p AS (SELECT a.gene, a.other AS a, b.other AS b, {relation_sql('a.f', 'a.t', 'b.f', 'b.t', 10)} AS r1, {relation_sql('h.from1', 'h.to1', 'h.from2', 'h.to2', 10)} AS r2

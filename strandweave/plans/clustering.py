@@ -26,7 +26,7 @@ def linked(spark: SparkSession, d: str, params: Params = PARAMS) -> DataFrame:
 
 def domain_cluster(spark: SparkSession, d: str) -> DataFrame:
     """Flat members of every cluster, numbered from the largest."""
-    rows = cluster.cut(linked(spark, d), None, "domains")
+    rows = cluster.cut(linked(spark, d), PARAMS, "domains")
     rows = materialize(rows, "domains")
     sizes = rows.groupBy("component", "cluster_id").agg(F.count(F.lit(1)).alias("members"), F.min("gene").alias("least"))
     order = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("members"), "least", "component", "cluster_id")))
@@ -35,22 +35,22 @@ def domain_cluster(spark: SparkSession, d: str) -> DataFrame:
 
 def domain_regions(spark: SparkSession, d: str) -> DataFrame:
     """Genes that were split, with their segments in order."""
-    rows = cluster.cut(linked(spark, d), None, "domains")
+    rows = cluster.cut(linked(spark, d), PARAMS, "domains")
     parts = rows.groupBy("species", "gene").agg(F.array_sort(F.collect_list(F.struct("dom", "from", "to"))).alias("parts"))
     return parts.filter(F.size("parts") > 1)
 
 
 def cluster_tree(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.cut(linked(spark, d), None, "tree")
+    return cluster.cut(linked(spark, d), PARAMS, "tree")
 
 
 def newick(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.cut(linked(spark, d), None, "newick")
+    return cluster.cut(linked(spark, d), PARAMS, "newick")
 
 
 def parent_child(spark: SparkSession, d: str) -> DataFrame:
     """Edges of all trees."""
-    t = cluster.cut(linked(spark, d), None, "tree")
+    t = cluster.cut(linked(spark, d), PARAMS, "tree")
     return t.filter("parent_id is not null").select("component", F.col("parent_id").alias("parent"), F.col("node_id").alias("child"))
 
 
@@ -68,7 +68,7 @@ def homology_cluster(spark: SparkSession, d: str) -> DataFrame:
 def average_linkage(spark: SparkSession, d: str) -> DataFrame:
     """Classic average linkage: genes stay whole."""
     whole = Params(**{**PARAMS.__dict__, "no_break": True})
-    return cluster.cut(linked(spark, d, whole), None, "domains")
+    return cluster.cut(linked(spark, d, whole), whole, "domains")
 
 
 QUERIES = {f.__name__: f for f in (domain_cluster, domain_regions, cluster_tree, newick, parent_child, phylo_cut, homology_cluster, average_linkage)}

@@ -170,3 +170,62 @@ def test_derived_parameters():
     d = Params(measure="dist").resolved()
     assert d.cutoff == 270.0 and d.miss_dist == pytest.approx(270 / 0.95) and d.miss_score == pytest.approx(57.0)
     assert Params(cutoff=0.5).resolved().dist_scale == 100 and Params(cutoff=0.5).decimals == 2
+
+
+def tips(rows):
+    return sorted((r[0], r[1], r[7].split(":")[1], r[8], r[9], r[10]) for r in rows["tree"] if r[7])
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_tips_are_the_members(seed):
+    """Also where a gene has two domains in a cluster: each ends a branch of its own."""
+    rnd = random.Random(seed)
+    genes, hits = random_graph(rnd)
+    p = Params(cutoff=60, dist_scale=100_000, min_species=1, cut_ratio=rnd.choice((0.5, 2.0)))
+    found = k.rows(0, k.link(genes, hits, p))
+    assert tips(found) == sorted((c, root, gene, dom, f, t) for c, root, _, gene, dom, f, t, _ in found["domains"])
+    for _, root, text in found["newick"]:
+        members = sorted(f"{sp}_{gene}#{dom}" for _, r, sp, gene, dom, *_ in found["domains"] if r == root)
+        assert sorted(text.replace("(", " ").replace(")", " ").replace(",", " ").replace(";", " ").split()) == members
+
+
+def test_two_domains_of_a_gene_in_one_cluster():
+    genes = [("a", "1", 800, 0), ("b", "2", 400, 0), ("c", "3", 400, 0)]
+    hits = [("1", "2", 1, 400, 1, 400, 10, 300.0), ("1", "3", 401, 800, 1, 400, 10, 290.0), ("2", "3", 1, 400, 1, 400, 10, 280.0)]
+    found = k.rows(0, k.link(genes, hits, Params(cutoff=60, min_species=1, homology=True)))
+    assert tips(found) == sorted((c, root, gene, dom, f, t) for c, root, _, gene, dom, f, t, _ in found["domains"])
+    assert sorted(r[4] for r in found["domains"] if r[3] == "1") == [1, 2] and len({r[1] for r in found["domains"]}) == 1
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_dump_and_restore(seed):
+    rnd = random.Random(seed)
+    genes, hits = random_graph(rnd)
+    genes = [(f"s{i * 7}", *g[1:]) for i, g in enumerate(genes)] + [(f"t{i}", f"x{i}", 300, 0) for i in range(80)]  # more species than a word has bits
+    hits += [("0", f"x{i}", 1, 100, 1, 100, 5, 90.0 + i / 7) for i in range(80)]
+    p = Params(cutoff=60, dist_scale=100_000, min_species=1)
+    g = k.link(genes, hits, p)
+    nodes, links = k.dump(g)
+    again = k.restore(nodes, links, p)
+    assert k.dump(again) == (nodes, links)
+    for q in (p, Params(cutoff=60, dist_scale=100_000, min_species=2, cut_ratio=0.2)):
+        assert k.rows(0, k.restore(nodes, links, q), q) == k.rows(0, k.restore(*k.dump(g), q), q)
+    assert k.rows(0, again) == k.rows(0, g)
+
+
+def test_deep_trees():
+    """A chain and a star of thousands of genes: no step goes deeper than the interpreter's stack."""
+    n = 5_000
+    genes = [(f"s{i}", f"g{i:05d}", 300, 0) for i in range(n)]
+    chain = [(f"g{i:05d}", f"g{i + 1:05d}", 1, 300, 1, 300, 10, 1e6 - 100 * i) for i in range(n - 1)]
+    p = Params(cutoff=60, min_species=1, homology=True, miss_score=59.9, dist_scale=1000)
+    found = k.rows(0, k.link(genes, chain, p))
+    assert len(found["domains"]) == len(tips(found)) == n and len(found["tree"]) == 2 * n - 1
+    g = k.link(genes, chain, p)
+    c = k.cut(g)
+    text = drawing(g, tree_of(c, c.clusters()[0].roots[0], c.clusters()[0].members))
+    assert text.count("\n") == 2 * n - 2
+    few = 800
+    star = [("g00000", f"g{i:05d}", 1, 300, 1, 300, 10, 1e6 - i) for i in range(1, few)]
+    found = k.rows(0, k.link(genes[:few], star, p))
+    assert len(found["domains"]) == len(tips(found)) == few
