@@ -30,6 +30,7 @@ import hashlib
 import pickle
 from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ from .common import python_table, words_of
 
 WINDOW = 13
 MAX_BLOCK_BYTES = 16 << 20
+#: Characters that are searched at once.
+CHUNK = 1 << 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a pattern's hash that order a bucket; the others number the bucket.
@@ -132,20 +135,26 @@ class Searcher:
         self.lengths = [Length(m, self.ids, self.ends[:-1][size == m], self.ends[1:][size == m], len(self.vocabulary) + 1) for m in np.unique(size).tolist()]
 
     def __call__(self, text: str | None) -> tuple[int, np.ndarray, set]:
-        """(number of words, indexes of hit words, ids of found items)."""
-        words = words_of(text)
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[tuple[int, np.ndarray, set]]:
+        """(number of words, indexes of hit words, ids of found items) of each text; a word of no item stands between texts."""
+        split = [words_of(t) for t in texts]
+        n = [len(w) for w in split]
+        start = np.cumsum([0, *(k + 1 for k in n)])
         get = self.vocabulary.get
-        ids = np.array([get(w, -1) for w in words], np.int32)
-        found: set = set()
-        edge = np.zeros(len(words) + 1, np.int32)
-        if self.lengths and (ids >= 0).any():
-            for s in self.lengths:
-                for start, places in s.find(ids, self.ids):
-                    edge[start] += 1
-                    edge[start + s.m] -= 1
-                    found.update(self.names[k] for k in np.searchsorted(self.ends, places, "right") - 1)
-        hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0) if found else np.empty(0, np.int64)
-        return len(words), hit, found
+        ids = np.fromiter(chain.from_iterable(chain(map(get, w, repeat(-1)), (-1,)) for w in split), np.int32, int(start[-1]))
+        found: dict[int, set] = {}
+        edge = np.zeros(len(ids) + 1, np.int32)
+        for s in self.lengths:
+            for at, places in s.find(ids, self.ids):
+                edge[at] += 1
+                edge[at + s.m] -= 1
+                doc = int(np.searchsorted(start, at, "right")) - 1
+                found.setdefault(doc, set()).update(self.names[k] for k in np.searchsorted(self.ends, places, "right") - 1)
+        hit = np.cumsum(edge[:-1]) > 0 if found else edge[:-1]
+        none = np.empty(0, np.int64)
+        return [(k, np.flatnonzero(hit[a : a + k]) if d in found else none, found.get(d, set())) for d, (k, a) in enumerate(zip(n, start.tolist(), strict=False))]
 
     def bytes(self) -> int:
         """Of the arrays, without the vocabulary."""
@@ -191,11 +200,14 @@ def _finder(docs: DataFrame, block: list[tuple]):
 
     @F.arrow_udf(FOUND)
     def found(texts: pa.Array) -> pa.Array:
-        tables, out = _built(name, shared.value), []
-        for t in texts:
-            n, hit, items = tables(t.as_py())
-            out.append({"n_words": n, "hits": hit.tolist(), "items": sorted(items, key=lambda i: (i is not None, i))})
-        return pa.array(out, _FOUND)
+        tables, out, some, held = _built(name, shared.value), [], [], 0
+        for k in range(len(texts)):
+            some.append(texts[k].as_py())
+            held += len(some[-1] or "")
+            if held >= CHUNK or k == len(texts) - 1:
+                out += tables.many(some)
+                some, held = [], 0
+        return pa.array([{"n_words": n, "hits": hit.tolist(), "items": sorted(items, key=lambda i: (i is not None, i))} for n, hit, items in out], _FOUND)
 
     return found
 
