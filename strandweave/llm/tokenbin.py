@@ -10,7 +10,7 @@ that a task's second attempt replaces the first:
     document is read with the index columns, a slice of payload and the dictionary.
 Segments ascend by doc_id over (part, seg).  A segment ends at SEGMENT_BYTES or
 SEGMENT_DOCS.  Parts are ranges of (doc_id, checksum of the text, a number of the row), one for
-about PART_BYTES of text, so that an id or a text that many rows share is dealt over parts.
+about PART_BYTES of text and MAX_PARTS at most, so that an id or a text that many rows share is dealt over parts.
 Global starts come from a running sum over the parts, ``before``, and a running sum in the segment.
 
 With a tokenizer of the known kind pieces of texts are encoded once and kept, see ``Encoder``;
@@ -45,9 +45,10 @@ END_ID = 1
 SEGMENT_BYTES = 4 << 20
 SEGMENT_DOCS = 2048
 MAX_WORDS = 600_000
-#: Bytes of text of a part, on average; parts up to this count are broadcast with their starts.
-PART_BYTES = 32 << 20
-MAX_BROADCAST_PARTS = 100_000
+#: Bytes of text of a part, on average, as long as there are no more than MAX_PARTS; more text makes larger parts.
+#: The parts' starts, a number each, are broadcast.
+PART_BYTES = 16 << 20
+MAX_PARTS = 100_000
 #: Bound of the sample that the dictionary is trained on, and the dictionary's size.
 SAMPLE_DOCS = 2_000
 SAMPLE_BYTES = 32 << 10
@@ -202,7 +203,7 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
               pa.field("offsets", pa.list_(pa.int32())), pa.field("counts", pa.list_(pa.int32())), pa.field("before", pa.int64()),
               pa.field("n_ids", pa.int64()), pa.field("payload", pa.binary())]
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(-(-size // PART_BYTES), spark.sparkContext.defaultParallelism)
+    parts = min(MAX_PARTS, max(-(-size // PART_BYTES), spark.sparkContext.defaultParallelism))
     order = [F.col("doc_id").asc_nulls_first(), F.crc32(F.col("text").cast("binary")).asc_nulls_first(), F.xxhash64("row")]
     dealt = slim.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     with text_batches(spark):
@@ -238,8 +239,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                     pa.array([np.frombuffer(x, "<u4").astype(np.int64) if with_ids else None for x in raw], pa.list_(pa.int64())),
                 ], names=["doc_id", "at", "n_tokens", "ids_crc32", "ids"])
 
-    few = totals.count() <= MAX_BROADCAST_PARTS
-    out = segments.join(F.broadcast(parts) if few else parts.hint("merge"), "part").mapInArrow(run, READ)
+    out = segments.join(F.broadcast(parts), "part").mapInArrow(run, READ)
     return out.select("doc_id", F.col("at").alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
