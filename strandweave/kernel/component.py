@@ -17,6 +17,7 @@ def link(genes: list[tuple], hits: list[tuple], p: Params, low: float | None = N
     at = {}
     for species, gene, length, trunc in genes:
         at[gene] = g.leaf(f"{species}:{gene}", int(length), 1 << bits.setdefault(species, len(bits)), int(trunc)).id
+    g.species = list(bits)
     for a, b, f1, t1, f2, t2, dist, score in hits:
         if a != b:
             g.connect(at[a], at[b], (int(f1), int(t1)), (int(f2), int(t2)), dist, score)
@@ -58,6 +59,9 @@ def restore(nodes: list[dict], links: list[dict], p: Params) -> Linkage:
                   parent=r["parent"], parent_left=r["parent_left"], parent_right=r["parent_right"], cut=(r["cut_from"], r["cut_to"]), joined=(r["joined_from"], r["joined_to"]), gone=r["gone"])
         if n.kind == LEAF:
             g.leaves = n.id + 1
+            species = n.name.partition(":")[0]
+            if species not in g.species:  # numbered in the order of the leaves, as link does
+                g.species.append(species)
     for r in links:
         g.link(r["left"], r["right"], r["count"], r["status"])
     return g
@@ -71,6 +75,8 @@ def cut(g: Linkage, p: Params | None = None) -> Cutter:
     c.cut_all()
     if c.p.absorb_ratio >= 0.99999999:
         c.absorb_all()
+    if c.p.outgroup:
+        c.drop_outgroup(sum(1 << k for k, name in enumerate(g.species) if name in c.p.outgroup))
     c.drop_small()
     return c
 

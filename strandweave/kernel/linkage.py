@@ -128,6 +128,7 @@ class Linkage:
         self.edges: list[dict[int, Edge]] = []
         self.queue = Buckets(self.p, (self.p.miss_score if low is None else low) - 1)
         self.leaves = 0
+        self.species: list[str] = []  # by bit
 
     def add(self, **values) -> Node:
         n = Node(len(self.nodes), **values)

@@ -72,17 +72,39 @@ def mirrored(hits: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def edges_of(hits: DataFrame, genes: DataFrame, params: Params) -> DataFrame:
-    """Hits to the edges that clustering starts from: all of the above in the order of the reference's ingest."""
+class UnknownGenes(ValueError):
+    """Hits name genes that are not in the gene table."""
+
+
+def edges_of(hits: DataFrame, genes: DataFrame, params: Params, outgroup: list[str] | None = None) -> DataFrame:
+    """Hits to the edges that clustering starts from: all of the above in the order of the reference's ingest.
+
+    outgroup: its species; a hit across its border counts a step less in ties, one within a species a step more.
+    Hits of unknown genes are left out with ``skip_unknown``, and refused without.
+    """
     p = params.resolved()
-    out = with_lengths(admit(hits, p), genes)
+    admitted = admit(hits, p)
+    if not p.skip_unknown and (first := unknown(admitted, genes).select("id1", "id2").first()) is not None:
+        raise UnknownGenes(f"a hit of {first.id1} and {first.id2} names a gene that is not known; skip_unknown leaves such hits out")
+    out = with_lengths(admitted, genes)
     if p.cov_filter:
         out = covered(out, p.cov_filter).drop("coverage")
+    if not p.by_score and p.min_alignment:
+        aligned = F.least(regions.length(F.col("from1"), F.col("to1")), regions.length(F.col("from2"), F.col("to2")))
+        out = out.withColumn("dist", measures.short_alignment_penalty(F.col("dist").cast("double"), aligned, F.least("length1", "length2"), p.miss_dist, p.min_alignment))
     out = canonical(out.filter(F.col("id1") != F.col("id2")))
     same = F.col("species1") == F.col("species2")
-    out = out.withColumn("score", measures.tie_correction(F.col("score").cast("double"), same, F.lit(False), p.dist_scale))
+    across = F.col("species1").isin(outgroup) != F.col("species2").isin(outgroup) if outgroup else F.lit(False)
+    out = out.withColumn("score", measures.tie_correction(F.col("score").cast("double"), same, across, p.dist_scale))
     return best_of_pair(out, ["id1", "id2"], "from1", "from2")
 
 
+def connections(edges: DataFrame, first, second, most: int = 65_535) -> DataFrame:
+    """third, links, score_sum of the node that two merged nodes make: edges (id1, id2, score, links) as ``merging.third_nodes`` sees them; links stop at ``most``."""
+    seen = mirrored(edges.withColumn("from1", F.col("links")).withColumn("to1", F.lit(0)).withColumn("from2", F.col("links")).withColumn("to2", F.lit(0)))
+    near = seen.filter(F.col("id").isin(first, second) & ~F.col("other").isin(first, second))
+    return near.groupBy(F.col("other").alias("third")).agg(F.least(F.sum("from"), F.lit(most)).cast("int").alias("links"), F.sum("score").alias("score_sum"))
+
+
 def rank_within(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

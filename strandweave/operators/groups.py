@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 
 def members(labels: DataFrame, genes: DataFrame) -> DataFrame:
     """label, gene, species, length."""
@@ -20,9 +22,26 @@ def large(rows: DataFrame, min_species: int, min_members: int) -> DataFrame:
     return s.filter((F.col("species") >= min_species) & (F.col("members") >= min_members))
 
 
+def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
+    """Adds numbers from 1 in an order, in which no two rows are equal.
+
+    Rows are dealt by ranges of the order, counted by range and numbered within; no task sees more than a range.
+    """
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # The n-th row of a partition has n as the low bits of this id, the partition's number as the high ones.
+    held = materialize(dealt.withColumn("sw_id", F.monotonically_increasing_id()), "numbered")
+    part, at = F.shiftright("sw_id", 33), F.col("sw_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = held.groupBy(part.alias("sw_part")).agg(F.count(F.lit(1)).alias("sw_n"))
+    past = Window.orderBy("sw_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    starts = counts.select("sw_part", F.coalesce(F.sum("sw_n").over(past), F.lit(0)).alias("sw_start"))
+    return held.withColumn("sw_part", part).join(F.broadcast(starts), "sw_part").withColumn(name, (F.col("sw_start") + at + 1).cast("int")).drop("sw_part", "sw_id", "sw_start")
+
+
 def ranked(groups: DataFrame) -> DataFrame:
     """cluster_id from 1, larger groups first, ties to the smaller label."""
-    return groups.withColumn("cluster_id", F.row_number().over(Window.orderBy(F.desc("members"), "label")))
+    return numbered(groups, "cluster_id", F.desc("members"), F.asc("label"))
 
 
 def species_table(rows: DataFrame, species: list[str]) -> DataFrame:
@@ -46,3 +65,31 @@ def marks(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """label, tp, fp, fn against the best match."""
     m = best_match(ours, theirs)
     return m.select("label", F.col("common").alias("tp"), (F.col("n2") - F.col("common")).alias("fp"), (F.col("n1") - F.col("common")).alias("fn"))
+
+
+def mean_length(domains: DataFrame, *keys: str) -> DataFrame:
+    """keys, mean_length: the whole part of the mean length of a cluster's domains (from, to)."""
+    return domains.groupBy(*keys).agg(F.sum((F.col("to") - F.col("from") + 1).cast("long")).alias("n"), F.count(F.lit(1)).alias("k")).select(*keys, F.expr("n div k").alias("mean_length"))
+
+
+def best_match_domains(ours: DataFrame, theirs: DataFrame, of_shorter: float = 0.5) -> DataFrame:
+    """label, best, common, jaccard as ``best_match``, where a domain counts as common if one of the same gene in the other group overlaps it.
+
+    ours, theirs: (gene, label, from, to).  Two domains overlap if they share more than ``of_shorter`` of the shorter.
+    """
+    n1 = ours.groupBy("label").agg(F.count(F.lit(1)).alias("n1"))
+    n2 = theirs.groupBy(F.col("label").alias("other")).agg(F.count(F.lit(1)).alias("n2"))
+    a = ours.select("gene", "label", F.col("from").alias("af"), F.col("to").alias("at"))
+    b = theirs.select("gene", F.col("label").alias("other"), F.col("from").alias("bf"), F.col("to").alias("bt"))
+    shared = F.least("at", "bt") - F.greatest("af", "bf")
+    short = F.least(F.col("at") - F.col("af"), F.col("bt") - F.col("bf")) + 1
+    met = a.join(b, "gene").filter(shared > short * F.lit(of_shorter)).select("label", "other", "gene", "af", "at").distinct()
+    met = met.groupBy("label", "other").agg(F.count(F.lit(1)).alias("common"))
+    j = F.col("common") / (F.col("n1") + F.col("n2") - F.col("common"))
+    best = met.join(n1, "label").join(n2, "other").withColumn("jaccard", j).groupBy("label").agg(F.max(F.struct("jaccard", (-F.col("other")).alias("neg"), "other", "common")).alias("b"))
+    return best.select("label", F.col("b.other").alias("best"), "b.common", "b.jaccard")
+
+
+def cross_named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows (gene, ...) under the other names of their genes: names (gene, name), several of a gene give a row each; others keep their own."""
+    return rows.join(names.select("gene", F.col("name").alias("sw_name")), "gene", "left").withColumn("gene", F.coalesce("sw_name", "gene")).drop("sw_name")

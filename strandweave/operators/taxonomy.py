@@ -16,15 +16,28 @@ def closure(spark: SparkSession, nodes: DataFrame) -> DataFrame:
         SELECT node, ancestor, depth FROM up""")
 
 
+#: Nodes of a species tree, at most; it is looked through on the driver and sent along with expressions.
+MOST_NODES = 20_000
+
+
 def least_taxon(rows: DataFrame, tree: DataFrame, profile: str) -> DataFrame:
-    """Adds taxon: the deepest node whose profile holds the row's.
+    """Adds taxon: the deepest node whose profile holds the row's, null if none does.  Every row keeps its own.
 
-    tree: node_id ascending from the root, depth, profile.  It is a species tree, of some
-    thousand nodes at most, which is asserted; so every row meets every node of it.
+    tree: node_id ascending from the root, depth, profile.  It is a species tree, of some thousand
+    nodes at most, which is asserted.  Each different profile is looked up once, then joined back.
     """
-    if tree.count() > 20_000:
-        raise ValueError("a species tree of more than 20,000 nodes")
+    if tree.count() > MOST_NODES:
+        raise ValueError(f"a species tree of more than {MOST_NODES:,} nodes")
     t = F.broadcast(tree.select("node_id", "depth", F.col("profile").alias("node_profile")))
-    inside = F.col(profile).bitwiseAND(F.col("node_profile")) == F.col(profile)
-    keys = rows.columns
-    return rows.join(t, inside).groupBy(*keys).agg(F.max(F.struct("depth", "node_id")).alias("m")).select(*keys, F.col("m.node_id").alias("taxon"))
+    known = rows.select(F.col(profile).alias("sw_p")).distinct()
+    found = known.join(t, F.col("sw_p").bitwiseAND(F.col("node_profile")) == F.col("sw_p")).groupBy("sw_p").agg(F.max(F.struct("depth", "node_id")).alias("m"))
+    return rows.join(found.select("sw_p", F.col("m.node_id").alias("taxon")), rows[profile].eqNullSafe(F.col("sw_p")), "left").drop("sw_p")
+
+
+def labels(tree: DataFrame) -> DataFrame:
+    """node_id, name of a tree (node_id, parent_id, label, species): its label, else its species; a leaf without a label that is its
+    parent's only child takes the parent's."""
+    up = tree.groupBy(F.col("parent_id").alias("up")).agg(F.count(F.lit(1)).alias("kin"))
+    parents = tree.select(F.col("node_id").alias("up"), F.col("label").alias("up_label")).join(up, "up")
+    own = F.when(F.col("species").isNotNull() & F.col("label").isNull() & (F.col("kin") == 1), F.col("up_label"))
+    return tree.join(parents, tree.parent_id == parents.up, "left").select("node_id", F.coalesce(own, "label", "species").alias("name"))

@@ -43,7 +43,8 @@ class Params:
     no_extend: bool = False
     ignore_truncation: bool = False
     skip_unknown: bool = False
-    tree_check: bool = False
+    #: Species of the outgroup; clusters of only these are dropped, and ties across its border are corrected.
+    outgroup: tuple[str, ...] = ()
     homology: bool = False
     #: The reference copies the split cutoff before the default cutoff is set, so that
     #: without an explicit cutoff nothing is held against it; False uses the cutoff.

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster
+from ..operators import cluster, groups
 from ..operators.edges import edges_of
 from ..params import Params
 from ..sources import bridge
 from ..storage import materialize
 
 #: Words instead of residues: lengths are those of documents.
-PARAMS = Params(cutoff=6.0, miss_score=3.0, min_len=20, min_len2=120, min_overlap=15, min_species=1)
+PARAMS = Params(cutoff=6.0, miss_score=3.0, min_len=20, min_len2=120, min_overlap=15, min_species=1, skip_unknown=True)
 _kept: dict = {}
 
 
@@ -20,7 +20,7 @@ def linked(spark: SparkSession, d: str, params: Params = PARAMS) -> DataFrame:
     key = (spark.sparkContext.applicationId, d, params)
     if key not in _kept:
         genes, hits = bridge.kept(spark, d)
-        _kept[key] = materialize(cluster.link(genes, edges_of(hits, genes, params), params), "linked")
+        _kept[key] = materialize(cluster.link(genes, edges_of(hits, genes, params, list(params.outgroup)), params), "linked")
     return _kept[key]
 
 
@@ -29,7 +29,7 @@ def domain_cluster(spark: SparkSession, d: str) -> DataFrame:
     rows = cluster.cut(linked(spark, d), PARAMS, "domains")
     rows = materialize(rows, "domains")
     sizes = rows.groupBy("component", "cluster_id").agg(F.count(F.lit(1)).alias("members"), F.min("gene").alias("least"))
-    order = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("members"), "least", "component", "cluster_id")))
+    order = groups.numbered(sizes, "cluster", F.desc("members"), F.asc("least"), F.asc("component"), F.asc("cluster_id"))
     return rows.join(order, ["component", "cluster_id"]).select("cluster", "species", "gene", "dom", "from", "to")
 
 

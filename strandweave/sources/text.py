@@ -69,17 +69,32 @@ def hits(lines: DataFrame, by_score: bool = True, most_bad: int = 100) -> DataFr
                                   at(6).cast("float").alias("dist"), score.alias("score"), F.coalesce(at(8).try_cast("int"), F.lit(1)).alias("dir"))
 
 
-def packed_text(spark: SparkSession, path: str) -> DataFrame:
+def _counted(rows: DataFrame, ok: Column, most_bad: int, what: str) -> DataFrame:
+    """The well-formed rows; BadRows if more than ``most_bad`` are not."""
+    ok = F.coalesce(ok, F.lit(False))
+    if rows.filter(~ok).limit(most_bad + 1).count() > most_bad:
+        raise BadRows(f"more than {most_bad} malformed {what} rows")
+    return rows.filter(ok)
+
+
+def packed_text(spark: SparkSession, path: str, most_bad: int = 100) -> DataFrame:
     """Ten-column hits: id1 id2 from1 to1 from2 to2 ident eval score pam."""
-    f = _fields(spark.read.text(path)).filter(F.size("f") == 10)
+    rows = _fields(spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#|$)")))
     names = ("id1", "id2", "from1", "to1", "from2", "to2", "ident", "eval", "score", "pam")
     kind = ("string", "string", *["int"] * 4, *["float"] * 4)
-    return f.select(*[F.col("f")[k].cast(t).alias(n) for k, (n, t) in enumerate(zip(names, kind, strict=True))])
-
-
-def blast_table(spark: SparkSession, path: str) -> DataFrame:
-    """Twelve-column BLAST output: the distance from the identity, the bit score as the score."""
-    f = spark.read.text(path).select(F.split("value", "\t").alias("f")).filter(F.size("f") >= 12)
+    ok = F.size("f") == 10
+    for k, t in enumerate(kind):
+        ok = ok & F.get("f", F.lit(k)).try_cast(t).isNotNull()
+    return _counted(rows, ok, most_bad, "packed hit").select(*[F.get("f", F.lit(k)).try_cast(t).alias(n) for k, (n, t) in enumerate(zip(names, kind, strict=True))])
+
+
+def blast_table(spark: SparkSession, path: str, most_bad: int = 100) -> DataFrame:
+    """Twelve-column BLAST output: the distance from the identity, the bit score as the score; # lines go."""
+    lines = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#|$)")).select(F.split("value", "\t").alias("f"))
+    ok = F.size("f") >= 12
+    for k in (2, 6, 7, 8, 9, 10, 11):
+        ok = ok & F.trim(F.get("f", F.lit(k))).try_cast("double").isNotNull()
+    f = _counted(lines, ok, most_bad, "BLAST")
     c = lambda k, t: F.trim(F.col("f")[k]).try_cast(t)
     return f.select(F.col("f")[0].alias("id1"), F.col("f")[1].alias("id2"), c(6, "int").alias("from1"), c(7, "int").alias("to1"), c(8, "int").alias("from2"), c(9, "int").alias("to2"),
                     kimura(c(2, "double") / 100).cast("float").alias("dist"), c(11, "float").alias("score"), c(10, "double").alias("evalue"))
@@ -96,8 +111,8 @@ def best_rows(blast: DataFrame) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """species, gene, length, title of records ``>species:gene title``; records are split by the reader."""
-    r = spark.read.text(path, lineSep=">").filter("trim(value) <> ''")
+    """species, gene, length, title of records ``>species:gene title``; the reader splits at > where it begins a line."""
+    r = spark.read.text(path, lineSep="\n>").filter("trim(value) <> ''").withColumn("value", F.regexp_replace("value", r"^\s*>", ""))
     head = F.split("value", "\n", 2)
     name = F.split(F.trim(head[0]), r"\s+", 2)
     return r.select(F.split(name[0], ":", 2)[0].alias("species"), F.get(F.split(name[0], ":", 2), F.lit(1)).alias("gene"),
@@ -105,20 +120,24 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clusters(spark: SparkSession, path: str) -> DataFrame:
-    """cluster, subcluster, outgroup, species, gene, dom, from, to of block files (Cluster n / members / blank line)."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\n")).alias("n", "value")).filter("trim(value) <> ''")
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    """cluster, subcluster, outgroup, species, gene, dom, from, to, file of block files (Cluster n / members / blank line).
+
+    Blocks are those of their file: files may use the same numbers, so (file, cluster) names a cluster.
+    """
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("n", "value")).filter("trim(value) <> ''")
+    w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     number = lambda word: F.nullif(F.regexp_extract("value", rf"^{word}\s*(\d+)", 1), F.lit(""))
     marked = lines.withColumn("c", number("Cluster")).withColumn("s", number("SubCluster")).withColumn("o", F.col("value").rlike("^OutGroup"))
-    block = marked.withColumn("cluster", F.last("c", True).over(w))
-    inside = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    # A file can name a cluster twice; a block begins at each name.
+    block = marked.withColumn("cluster", F.last("c", True).over(w)).withColumn("block", F.count("c").over(w))
+    inside = Window.partitionBy("file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     block = block.withColumn("subcluster", F.last("s", True).over(inside)).withColumn("outgroup", F.max("o").over(inside))
     f = _fields(block.filter("c is null and s is null and not o"))
     full = F.col("f")[0]
     bare = F.regexp_replace(full, r"\(\d+\)$", "")
     return f.filter(F.size("f") >= 3).select("cluster", "subcluster", "outgroup", F.split(bare, ":", 2)[0].alias("species"), F.split(bare, ":", 2)[1].alias("gene"),
-                                             F.coalesce(F.regexp_extract(full, r"\((\d+)\)$", 1).try_cast("int"), F.lit(1)).alias("dom"), F.col("f")[1].cast("int").alias("from"), F.col("f")[2].cast("int").alias("to"))
+                                             F.coalesce(F.regexp_extract(full, r"\((\d+)\)$", 1).try_cast("int"), F.lit(1)).alias("dom"), F.col("f")[1].cast("int").alias("from"), F.col("f")[2].cast("int").alias("to"), "file")
 
 
 def representatives(spark: SparkSession, path: str) -> DataFrame:

@@ -106,3 +106,27 @@ def test_scratch_tables_go(spark):
         assert a.count() == 3
     left = set(os.listdir(root)) - before
     assert len(left) == 1 and left.pop().startswith("b-") and sorted(r.n for r in kept.collect()) == [1, 2, 3]
+
+
+def test_clusters_of_many_files(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a").write_text("Cluster 1\na:1 1 9\nSubCluster 2\nb:1 1 9\n\nCluster 2\nc:1 1 9\n")
+    (tmp_path / "x" / "b").write_text("Cluster 1\nd:1 1 9\n\nCluster 7\ne:1 1 9\nOutGroup\nf:1 1 9\n\nCluster 7\ng:1 1 9\n")
+    got = sorted((r.file[-1], r.cluster, r.species, r.subcluster, r.outgroup) for r in text.clusters(spark, str(tmp_path / "x")).collect())
+    assert got == [("a", "1", "a", None, False), ("a", "1", "b", "2", False), ("a", "2", "c", None, False), ("b", "1", "d", None, False), ("b", "7", "e", None, False), ("b", "7", "f", None, True), ("b", "7", "g", None, False)]
+
+
+def test_malformed_hits_are_counted(spark, put):
+    good = "a:1 b:2 1 5 2 6 99 0.5 60 3\n"
+    assert text.packed_text(spark, put("t1", good + "a:1 b:2 1 5\n# note\n\n" * 2 + "a b x 5 2 6 99 0.5 60 3\n")).count() == 1
+    with pytest.raises(text.BadRows):
+        text.packed_text(spark, put("t2", good + "a:1 b:2 1 5\n" * 3), most_bad=2)
+    line = "a:1\tb:2\t90.0\t100\t0\t0\t1\t100\t3\t102\t1e-30\t55.5\n"
+    assert text.blast_table(spark, put("t3", "# head\n" + line + "a\tb\n")).count() == 1
+    with pytest.raises(text.BadRows):
+        text.blast_table(spark, put("t4", line + "a\tb\n" * 3), most_bad=2)
+
+
+def test_fasta_titles(spark, put):
+    got = sorted(rows(text.fasta(spark, put("f", ">a:1 from A>B or so\nACDE\nFG\n>b:2\nAA\n>c:3 x > y\n\nA\n"))))
+    assert got == [("a", "1", 6, "from A>B or so"), ("b", "2", 2, None), ("c", "3", 1, "x > y")]
