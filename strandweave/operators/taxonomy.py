@@ -41,3 +41,20 @@ def labels(tree: DataFrame) -> DataFrame:
     parents = tree.select(F.col("node_id").alias("up"), F.col("label").alias("up_label")).join(up, "up")
     own = F.when(F.col("species").isNotNull() & F.col("label").isNull() & (F.col("kin") == 1), F.col("up_label"))
     return tree.join(parents, tree.parent_id == parents.up, "left").select("node_id", F.coalesce(own, "label", "species").alias("name"))
+
+
+def subtree_counts(rows: DataFrame, tree: DataFrame, profile: str) -> DataFrame:
+    """Adds subtrees: how many subtrees of a species tree a row's profile is made of, each as large as it can be.
+
+    tree: node_id, parent_id, profile; as in ``least_taxon``, each different profile is looked up once.
+    """
+    if tree.count() > MOST_NODES:
+        raise ValueError(f"a species tree of more than {MOST_NODES:,} nodes")
+    up = tree.select(F.col("node_id").alias("up"), F.col("profile").alias("up_profile"))
+    t = F.broadcast(tree.join(up, tree.parent_id == up.up, "left").select(F.col("profile").alias("node_profile"), "up_profile"))
+    p = F.col("sw_p")
+    whole = lambda c: c.bitwiseAND(p) == c
+    known = rows.select(F.col(profile).alias("sw_p")).distinct()
+    largest = whole(F.col("node_profile")) & ~F.coalesce(whole(F.col("up_profile")), F.lit(False))
+    found = known.join(t, largest).groupBy("sw_p").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(found, rows[profile].eqNullSafe(F.col("sw_p")), "left").withColumn("subtrees", F.coalesce("n", F.lit(0))).drop("sw_p", "n")

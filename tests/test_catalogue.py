@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from strandweave.plans import catalogue, clustering, more  # noqa: F401
+from strandweave.plans import catalogue, clustering, further, more, whole  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
