@@ -7,7 +7,7 @@ the first match's first word to the last one's last, its score their number.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize, table
@@ -27,15 +27,32 @@ def genes(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("source").alias("species"), F.col("doc_id").alias("gene"), F.size(words(F.col("text"))).alias("length"))
 
 
-def runs(documents: DataFrame) -> DataFrame:
-    """gene, run (hash), pos, last: each different run of a document, with its first and last position.
+#: Rows of a run that one task may see; runs with more are found first, and are at most 1 / HOT_SHARE.
+HOT_ROWS, HOT_SHARE = 10_000, 1 / 500
+#: Classes of documents that a hot run stands in all of, so in as many documents at least.
+SPREAD = 64
+
+
+def places(documents: DataFrame) -> DataFrame:
+    """gene, pos, h1, h2: every run of a document, by its hash.
 
-    Runs are hashed to 128 bits, so that strings are not shuffled.
+    Words are hashed once each, runs by the hashes of their words to 64 + 32 bits, so that strings are
+    neither shuffled nor hashed again for every run that they are in.
     """
-    w = words(F.col("text"))
-    listed = documents.select("doc_id", w.alias("w")).filter(F.size("w") >= RUN)
-    every = F.transform(F.sequence(F.lit(1), F.size("w") - (RUN - 1)), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("w", i, RUN)).alias("h1"), F.hash(F.slice("w", i, RUN)).alias("h2")))
-    return listed.select(F.col("doc_id").alias("gene"), F.explode(every).alias("r")).groupBy("gene", "r.h1", "r.h2").agg(F.min("r.pos").alias("pos"), F.max("r.pos").alias("last"))
+    def every(w: Column) -> Column:
+        of = lambda i: [F.get(w, i + k) for k in range(RUN)]
+        at = F.sequence(F.lit(0), F.greatest(F.size(w), F.lit(RUN)) - RUN)
+        found = F.transform(at, lambda i: F.struct((i + 1).alias("pos"), F.xxhash64(*of(i)).alias("h1"), F.hash(*of(i)).alias("h2")))
+        return F.when(F.size(w) >= RUN, found).otherwise(F.array().cast("array<struct<pos:int,h1:bigint,h2:int>>"))
+
+    # A lambda holds the words' hashes, so that no other expression computes them again.
+    hashed = F.array(F.transform(words(F.coalesce("text", F.lit(""))), lambda x: F.xxhash64(x)))
+    return documents.select(F.col("doc_id").alias("gene"), F.inline(F.transform(hashed, every)[0]))
+
+
+def runs(documents: DataFrame) -> DataFrame:
+    """gene, run (h1, h2), pos, last: each different run of a document, with its first and last position."""
+    return places(documents).groupBy("gene", "h1", "h2").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"))
 
 
 def hits(documents: DataFrame, most: int | None = MOST) -> DataFrame:
@@ -44,15 +61,17 @@ def hits(documents: DataFrame, most: int | None = MOST) -> DataFrame:
     Runs that more than ``most`` documents hold give no match, as in the queries' SQL; None takes
     all runs, whose pairs grow with the square of a run's documents.
     """
-    found = runs(documents).select("gene", "h1", "h2", "pos")
     if most is None:
         # Joined as rows, so that no row holds all documents of a run.
+        found = runs(documents).select("gene", "h1", "h2", "pos")
         a, b = (found.select("h1", "h2", F.struct("gene", "pos").alias(n)) for n in "ab")
         pairs = a.hint("merge").join(b, ["h1", "h2"]).filter(F.col("a.gene") < F.col("b.gene"))
     else:
-        # Frequent runs go before any gathering: no group below has more than ``most`` rows.
-        fit = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(FEWEST, most)).select("h1", "h2")
-        lists = found.join(fit, ["h1", "h2"]).groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("gene", "pos"))).alias("at"))
+        # One shuffle, by run: a document's places of a run, the run's documents and their pairs are all made where it brings them.
+        found = places(documents) if most >= SPREAD else _without_hot(places(documents), documents.count())
+        found = found.repartition("h1", "h2").groupBy("h1", "h2", "gene").agg(F.min("pos").alias("pos"))
+        fit = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h1", "h2"))).filter(F.col("n").between(FEWEST, most))
+        lists = fit.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("gene", "pos"))).alias("at"))
         firsts = lists.select("at", F.posexplode("at").alias("k", "a"))
         pairs = firsts.select("a", F.explode(F.slice("at", F.col("k") + 2, F.size("at"))).alias("b"))
     return pairs.groupBy(F.col("a.gene").alias("id1"), F.col("b.gene").alias("id2")).agg(
@@ -61,6 +80,20 @@ def hits(documents: DataFrame, most: int | None = MOST) -> DataFrame:
     )
 
 
+def _without_hot(found: DataFrame, documents: int) -> DataFrame:
+    """The places without those of runs that more than HOT_ROWS and HOT_SHARE of the documents hold, which are far beyond what makes a hit.
+
+    They are counted with partial sums before any shuffle of places, so no task sees one whole.
+    """
+    least = max(HOT_ROWS, int(documents * HOT_SHARE))
+    if documents <= least:
+        return found
+    held = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.pmod(F.xxhash64("gene"), F.lit(SPREAD))).alias("spread"))
+    # A run can fill one document; only such that stand in many are hot.
+    hot = materialize(held.filter((F.col("n") > least) & (F.col("spread") == SPREAD)).select("h1", "h2"), "hot-runs")
+    return found.join(F.broadcast(hot) if hot.count() <= 100_000 else hot, ["h1", "h2"], "left_anti")
+
+
 def kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(genes, hits) of a data folder, written once a session and reread."""
     key = (spark.sparkContext.applicationId, sf_dir)

@@ -11,3 +11,14 @@ def test_hits_of_all_runs(spark):
     assert got == want
     few = docs.filter("doc_id < 50")
     assert {tuple(r) for r in bridge.hits(few).collect()} == {tuple(r) for r in bridge.hits(few, most=None).collect()} == {r for r in want if r[1] < 50}
+
+
+def test_hot_runs_are_dropped_before_they_are_dealt(spark, monkeypatch):
+    """Runs that very many documents hold make no hit; taking them out early changes nothing, nor for a run that fills one document."""
+    common = " ".join(f"c{k}" for k in range(9))
+    data = [(i, f"{common} " + " ".join(f"p{i % 200}x{k}" for k in range(12))) for i in range(400)]
+    data += [(900, "same words again and again and again now " * 60), (901, "same words again and again and again now same words")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    want = sorted(map(tuple, bridge.hits(docs).collect()))
+    monkeypatch.setattr(bridge, "HOT_ROWS", 20)
+    assert sorted(map(tuple, bridge.hits(docs).collect())) == want and len(want) >= 201
