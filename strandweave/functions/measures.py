@@ -73,3 +73,8 @@ def gene_of(name: Column) -> Column:
 def domain_of(name: Column) -> Column:
     """The number in a trailing ``(n)``, or null."""
     return F.regexp_extract(name, r"\((\d+)\)$", 1).try_cast("int")
+
+
+def formatted(value: Column, style: str) -> Column:
+    """A number as text: "1" or "2" decimals, or "d", cut to a whole number."""
+    return value.cast("bigint").cast("string") if style == "d" else F.format_string(f"%.{style}f", value.cast("double"))

@@ -22,6 +22,12 @@ def words(species_nos: Column) -> Column:
     return F.when(size > 0, F.transform(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), one)).otherwise(F.array().cast("array<bigint>"))
 
 
+def mask_of(species: list[str], listed: list[str] | None = None, prefix: str | None = None) -> int:
+    """The profile of a group of species: those listed, and those whose name starts with ``prefix``; bits by place in ``species``."""
+    names = set(listed or ())
+    return sum(1 << k for k, s in enumerate(species) if s in names or prefix is not None and s.startswith(prefix))
+
+
 def union(profile: Column) -> Column:
     """Aggregate: the species of any row."""
     return F.bit_or(profile)

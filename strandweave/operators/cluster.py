@@ -10,6 +10,7 @@ with other parameters.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 import pyarrow as pa
@@ -70,3 +71,33 @@ def cut(linked: DataFrame, params: Params, kind: str) -> DataFrame:
 
     arrow = to_arrow_schema(StructType.fromDDL(SCHEMAS[kind]))
     return linked.select("component", "nodes", "links").mapInArrow(run, SCHEMAS[kind])
+
+
+def hierarchy(linked: DataFrame, params: Params) -> DataFrame:
+    """Members of orthologous groups under homologous ones: component, hom, cluster_id, species, gene, dom, from, to.
+
+    The same merges are cut twice, not at all and by ``params``; a domain belongs to the homologous
+    cluster whose domain of the gene covers most of it.
+    """
+    ortho, hom = cut(linked, params, "domains"), cut(linked, replace(params, homology=True), "domains")
+    up = hom.select("component", "gene", F.col("cluster_id").alias("hom"), F.col("from").alias("hf"), F.col("to").alias("ht"))
+    own = ["component", "cluster_id", "species", "gene", "dom", "from", "to"]
+    shared = F.least("to", "ht") - F.greatest("from", "hf")
+    best = F.max(F.struct(shared.alias("n"), (-F.col("hf")).alias("neg"), "hom"))
+    return ortho.join(up, ["component", "gene"]).groupBy(*own).agg(best.alias("m")).select("component", F.col("m.hom").alias("hom"), *own[1:])
+
+
+def named(rows: DataFrame, hom: str = "hom", cluster: str = "cluster_id", sub: str | None = None) -> DataFrame:
+    """rows with ``name``: the cluster's id in flat tables, after its homologous group's, with the number of a subgroup (0: the outgroup's)."""
+    name = F.concat(F.col(hom).cast("string"), F.lit("|"), F.col(cluster).cast("string"))
+    return rows.withColumn("name", F.concat(name, F.lit("."), F.col(sub).cast("string")) if sub else name)
+
+
+def neighbours(linked: DataFrame, ratio: float = 0.5) -> DataFrame:
+    """component, node, neighbour, side ("L" or "R"): of each node the live neighbour that most of its genes share, if at least ``ratio`` do."""
+    n = linked.select("component", F.inline("nodes")).select("component", F.col("id").alias("node"), "count")
+    l = linked.select("component", F.inline("links")).filter("status = 0").withColumnRenamed("count", "shared")
+    right = l.select("component", F.col("left").alias("node"), F.col("right").alias("neighbour"), F.lit("R").alias("side"), "shared")
+    left = l.select("component", F.col("right").alias("node"), F.col("left").alias("neighbour"), F.lit("L").alias("side"), "shared")
+    best = right.union(left).groupBy("component", "node", "side").agg(F.max(F.struct("shared", (-F.col("neighbour")).alias("neg"))).alias("m"))
+    return best.join(n, ["component", "node"]).filter(F.col("m.shared") >= F.bround(F.col("count") * F.lit(ratio))).select("component", "node", (-F.col("m.neg")).alias("neighbour"), "side")

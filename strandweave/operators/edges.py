@@ -65,6 +65,22 @@ def both(hits: DataFrame, names: DataFrame, column: str) -> DataFrame:
     return hits.join(listed.withColumnRenamed("n", "id1"), "id1", "left_semi").join(listed.withColumnRenamed("n", "id2"), "id2", "left_semi")
 
 
+def of_clusters(hits: DataFrame, members: DataFrame, clusters: list | None = None, genes: list | None = None, whole: bool = True) -> DataFrame:
+    """Hits of the genes of some clusters: members (gene, label), clusters by label or by a gene that they hold; both ends in one, or with ``whole`` unset any end."""
+    wanted = F.lit(False)
+    if clusters:
+        wanted = wanted | F.col("label").isin(clusters)
+    if genes:
+        held = members.filter(F.col("gene").isin(genes)).select(F.col("label").alias("sw_label")).distinct()
+        members = members.join(held, members.label == held.sw_label, "left")
+        wanted = wanted | F.col("sw_label").isNotNull()
+    kept = members.filter(wanted).select("gene", "label").distinct()
+    if not whole:
+        return either(hits, kept, "gene")
+    a, b = kept.select(F.col("gene").alias("id1"), F.col("label").alias("sw_a")), kept.select(F.col("gene").alias("id2"), F.col("label").alias("sw_b"))
+    return hits.join(a, "id1").join(b, "id2").filter("sw_a = sw_b").drop("sw_a", "sw_b").distinct()
+
+
 def mirrored(hits: DataFrame) -> DataFrame:
     """Each hit seen from either end: id, other, from, to, other_from, other_to, score."""
     one = hits.select(F.col("id1").alias("id"), F.col("id2").alias("other"), F.col("from1").alias("from"), F.col("to1").alias("to"), F.col("from2").alias("other_from"), F.col("to2").alias("other_to"), "score")

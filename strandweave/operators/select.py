@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import besthit, edges
+from .groups import numbered
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,8 @@ class Selection:
     near_best: float = 90.0
     ends: str | None = None
     once: bool = True
+    #: Columns within whose values pairs are unique: with the name of a file, each file keeps its own.
+    once_by: tuple[str, ...] = ()
 
 
 def select(hits: DataFrame, s: Selection, names: DataFrame | None = None, both_listed: bool = False) -> DataFrame:
@@ -43,5 +46,10 @@ def select(hits: DataFrame, s: Selection, names: DataFrame | None = None, both_l
     if s.ends:
         out = besthit.near_best(out, s.near_best, s.ends).drop("best1", "best2")
     if s.once:
-        out = edges.best_of_pair(edges.canonical(out), ["id1", "id2"], "from1", "from2")
+        out = edges.best_of_pair(edges.canonical(out), [*s.once_by, "id1", "id2"], "from1", "from2")
     return out
+
+
+def by_score(hits: DataFrame) -> DataFrame:
+    """Hits with a place from 1: the highest score first, of equal ones the least distance, then by ids."""
+    return numbered(hits, "place", F.desc("score"), F.asc("pam"), F.asc("id1"), F.asc("id2"), F.asc("from1"), F.asc("from2"))

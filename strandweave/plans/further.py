@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import profiles, regions
+from ..functions import measures, profiles, regions
 from ..operators import edges, groups, subgroups, taxonomy
+from ..operators import select as select_
 from ..params import Params
 from ..sources import bridge
 from ..storage import table
-from .catalogue import _GROUPS_SQL, HITS_SQL, LONG_SQL, RICH, STRICT, _hits, _labels, _long, _members, labels_sql, query
+from .catalogue import _GROUPS_SQL, GENES_SQL, HITS_SQL, LONG_SQL, RICH, STRICT, _hits, _labels, _long, _members, labels_sql, query
+from .more import _packed
 
 _SPANS_SQL = f"""{HITS_SQL}, {labels_sql(STRICT, 'a')}, {labels_sql(RICH, 'b')},
 side AS (SELECT id1 AS gene, from1 AS f, to1 AS t, score FROM hits UNION ALL SELECT id2, from2, to2, score FROM hits),
@@ -106,4 +108,55 @@ def subtree_count(spark, d):
     return taxonomy.subtree_counts(p, tree, "p").select("grp", profiles.count(F.col("p")).alias("species"), "subtrees")
 
 
+@query(f"""WITH RECURSIVE {HITS_SQL}, {labels_sql(RICH)}, k AS (SELECT id FROM lab WHERE label % 3 = 1 OR label IN (SELECT label FROM lab WHERE id IN (SELECT min(id) FROM lab WHERE id % 2 = 0)))
+SELECT h.id1, h.id2, h.score FROM hits h JOIN lab a ON a.id = h.id1 JOIN lab b ON b.id = h.id2 WHERE a.label = b.label AND h.id1 IN (SELECT id FROM k)""")
+def extract_clusters(spark, d):
+    """Hits inside some clusters, named by their labels and by one of their genes."""
+    members = _members(spark, d).select("gene", "label")
+    some = [r[0] for r in members.select("label").distinct().filter("label % 3 = 1").collect()]
+    gene = members.filter("gene % 2 = 0").agg(F.min("gene")).first()[0]
+    return edges.of_clusters(_hits(spark, d), members, some, None if gene is None else [gene]).select("id1", "id2", "score")
 
+
+@query(f"""WITH {LONG_SQL}, p AS (SELECT id1, id2, score, from1, from2, (100 + (id1 * 7 + id2 * 13) % 200)::DOUBLE AS pam FROM long) SELECT id1, id2, score, pam, row_number() OVER (ORDER BY score DESC, pam, id1, id2, from1, from2)::INTEGER AS place FROM p""")
+def hit_order(spark, d):
+    """Hits by falling score."""
+    return select_.by_score(_packed(spark, d)).select("id1", "id2", "score", "pam", "place")
+
+
+@query(f"""WITH {HITS_SQL}, f AS (SELECT *, k AS file FROM hits, range(3) AS r(k) WHERE (id1 + k) % 3 <> 0)
+SELECT file::BIGINT AS file, id1, id2, max(score + (id2 + file * 5) % 4)::BIGINT AS score FROM f GROUP BY file, id1, id2""")
+def unique_by_file(spark, d):
+    """The best hit of a pair in each of three files that hold many pairs alike, in either order and more than once."""
+    h = _hits(spark, d)
+    rows = h.withColumn("file", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)]))).filter((F.col("id1") + F.col("file")) % 3 != 0)
+    rows = rows.withColumn("score", (F.col("score") + (F.col("id2") + F.col("file") * 5) % 4).cast("long"))
+    less = rows.withColumn("score", F.col("score") - 1)
+    turned = less.select("score", "file", F.col("id2").alias("id1"), F.col("id1").alias("id2"), F.col("from2").alias("from1"), F.col("to2").alias("to1"), F.col("from1").alias("from2"), F.col("to1").alias("to2"))
+    packed = rows.unionByName(turned).withColumn("ident", F.lit(99.0)).withColumn("pam", F.lit(1.0)).withColumn("eval", F.lit(0.0))
+    return select_.select(packed, select_.Selection(once_by=("file",))).select("file", "id1", "id2", "score")
+
+
+@query("""WITH s AS (SELECT DISTINCT l_partkey // 10 AS part, s_nationkey * 5 AS k FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+w AS (SELECT part, k // 63 AS word, bit_or(1::BIGINT << (k % 63)) AS bits FROM s GROUP BY ALL), m AS (SELECT part, max(word) AS most FROM w GROUP BY part)
+SELECT part, string_agg(coalesce(bits, 0)::VARCHAR, ' ' ORDER BY j) AS words FROM (SELECT m.part, j, bits FROM m JOIN range(2) AS r(j) ON j <= most LEFT JOIN w ON w.part = m.part AND w.word = j) GROUP BY part""")
+def profile_words(spark, d):
+    """Profiles over more species than a word has bits."""
+    l, s = table(spark, d, "lineitem").select("l_partkey", "l_suppkey"), table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    sets = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.floor(F.col("l_partkey") / 10).cast("long").alias("part")).agg(F.collect_set(F.col("s_nationkey") * 5).alias("k"))
+    return sets.select("part", F.array_join(F.transform(profiles.words(F.col("k")), lambda x: x.cast("string")), " ").alias("words"))
+
+
+@query(f"""WITH {GENES_SQL} SELECT species, (species LIKE 'src1%' OR species IN ('src3', 'src7')) AS inside FROM genes GROUP BY species""")
+def species_groups(spark, d):
+    """Species of a group that is declared by a prefix and a list."""
+    names = [f"src{k}" for k in range(20)]
+    mask = profiles.mask_of(names, ["src3", "src7", "unknown"], "src1")
+    at = F.array_position(F.array(*map(F.lit, names)), F.col("species")) - 1
+    return bridge.genes(table(spark, d, "documents")).select("species").distinct().select("species", (profiles.mask_status(profiles.bit(at), mask) > 0).alias("inside"))
+
+
+@query(f"""WITH {HITS_SQL} SELECT id1, id2, printf('%.1f', score / 7::DOUBLE) AS one, printf('%.2f', score / 7::DOUBLE) AS two, trunc(score / 7::DOUBLE)::BIGINT::VARCHAR AS whole FROM hits WHERE score % 7 <> 0""")
+def score_text(spark, d):
+    v = F.col("score") / 7
+    return _hits(spark, d).filter("score % 7 <> 0").select("id1", "id2", measures.formatted(v, "1").alias("one"), measures.formatted(v, "2").alias("two"), measures.formatted(v, "d").alias("whole"))

@@ -178,6 +178,50 @@ def is_binary(head: bytes) -> bool:
     return head[:1] == bytes([MAGIC])
 
 
+def first_bytes(spark: SparkSession, path: str, n: int = 1) -> bytes:
+    """The first bytes of a file, or of the first file of a folder, whatever store it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.getFileStatus(at).isDirectory():
+        held = sorted(str(f.getPath()) for f in fs.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+        if not held:
+            return b""
+        at = spark._jvm.org.apache.hadoop.fs.Path(held[0])
+    stream, out = fs.open(at), []
+    try:
+        while len(out) < n and (b := stream.read()) >= 0:
+            out.append(b)
+    finally:
+        stream.close()
+    return bytes(out)
+
+
+def edges(spark: SparkSession, path: str, format: str = "auto", by_score: bool = True, most_bad: int = 100) -> DataFrame:
+    """Hits of an edge file, "text" or "binary"; "auto" looks at the first byte.  Of text with a // line, what follows it."""
+    if format == "auto":
+        format = "binary" if is_binary(first_bytes(spark, path)) else "text"
+    if format == "binary":
+        return edges_binary(spark, path).withColumn("dir", F.lit(1))
+    lines = spark.read.text(path)
+    if lines.filter(F.col("value").startswith("//")).take(1):
+        lines = sections(spark, path)[1]
+    return hits(lines, by_score, most_bad)
+
+
+# Settings of a folder of hits and what they are by default.
+FOLDER = {"uniqcheck": "1", "idxfile": None, "prefix": "", "suffix": "", "delim": "-"}
+
+
+def folder_settings(spark: SparkSession, path: str) -> dict:
+    """Settings of a folder from the lines ``key=value`` of its information file: uniqcheck (a number), idxfile, prefix, suffix, delim (a character)."""
+    out = dict(FOLDER)
+    for r in spark.read.text(path).filter(F.col("value").rlike("^(" + "|".join(FOLDER) + ")=")).toLocalIterator():
+        key, _, value = r.value.partition("=")
+        out[key] = value[:1] if key == "delim" else value
+    digits = out["uniqcheck"].strip()
+    return out | {"uniqcheck": int(digits) if digits.lstrip("-").isdigit() else 0}
+
+
 def write_partitioned(hits_: DataFrame, path: str) -> None:
     """Hits in folders by species pair, smaller name first: the index of later scans is the folder tree."""
     a, b = F.split("id1", ":", 2)[0], F.split("id2", ":", 2)[0]
@@ -192,4 +236,4 @@ def read_pairs(spark: SparkSession, path: str, pairs: list[tuple[str, str]]) ->
     return spark.read.parquet(path).filter(keep)
 
 
-__all__ = ["HITS", "BadRows", "best_rows", "blast_table", "clusters", "edges_binary", "fasta", "genes", "hits", "is_binary", "packed_binary", "packed_text", "read_pairs", "representatives", "sections", "write_partitioned"]
+__all__ = ["HITS", "BadRows", "best_rows", "blast_table", "clusters", "edges", "edges_binary", "fasta", "first_bytes", "folder_settings", "genes", "hits", "is_binary", "packed_binary", "packed_text", "read_pairs", "representatives", "sections", "write_partitioned"]

@@ -81,3 +81,19 @@ def test_outgroup_only_clusters_go():
     nodes, links = k.dump(k.link(genes, hits, Params(cutoff=60)))
     out = Params(cutoff=60, outgroup=("c", "d"))
     assert sorted({r[2] for r in k.rows(0, k.restore(nodes, links, out), out)["domains"]}) == ["a", "b"]
+
+
+def test_neighbours_of_nodes(spark):
+    from strandweave.operators import cluster
+
+    genes = spark.createDataFrame([("a", "1", 500), ("b", "2", 500), ("c", "3", 250), ("d", "4", 250)], "species string, gene string, length int")
+    hits = spark.createDataFrame([("1", "2", 1, 500, 1, 500, 400.0), ("1", "3", 1, 250, 1, 250, 200.0), ("2", "3", 1, 250, 1, 250, 210.0), ("1", "4", 251, 500, 1, 250, 190.0), ("2", "4", 251, 500, 1, 250, 195.0)],
+                                 "id1 string, id2 string, from1 int, to1 int, from2 int, to2 int, score double")
+    p = Params(cutoff=60.0)
+    as_long = lambda df, *cols: df.select(*[F.col(c).cast("long").alias(c) if c in cols else F.col(c) for c in df.columns])
+    linked = cluster.link(as_long(genes, "gene"), as_long(hits, "id1", "id2"), p)
+    both = rows(cluster.neighbours(linked))
+    assert both and all((c, m, n, "L" if s == "R" else "R") in both for c, n, m, s in both)
+    tree = cluster.hierarchy(linked, p).collect()
+    assert len(tree) == 6 and all(r.hom >= r.cluster_id for r in tree)
+    assert {r.name for r in cluster.named(cluster.hierarchy(linked, p).withColumn("sub", F.lit(0)), sub="sub").collect()} == {f"{r.hom}|{r.cluster_id}.0" for r in tree}

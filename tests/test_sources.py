@@ -130,3 +130,22 @@ def test_malformed_hits_are_counted(spark, put):
 def test_fasta_titles(spark, put):
     got = sorted(rows(text.fasta(spark, put("f", ">a:1 from A>B or so\nACDE\nFG\n>b:2\nAA\n>c:3 x > y\n\nA\n"))))
     assert got == [("a", "1", 6, "from A>B or so"), ("b", "2", 2, None), ("c", "3", 1, "x > y")]
+
+
+def test_sniffing(spark, put, tmp_path):
+    rec = struct.pack("=80s80s4H2f", b"a:1", b"b:2", 1, 50, 2, 51, 12.5, 60.0)
+    want = ("a:1", "b:2", 1, 50, 2, 51, 12.5, 60.0, 1)
+    line = "a:1 b:2 1 50 2 51 12.5 60\n"
+    for name, data in (("bin", bytes([text.MAGIC]) + rec), ("plain", line), ("both", "a 1 100\nb 2 90\n//\n" + line)):
+        assert rows(text.edges(spark, put(name, data))) == [want]
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "folder" / "_x").write_text("no")
+    (tmp_path / "folder" / "f").write_bytes(bytes([text.MAGIC]) + rec)
+    assert text.first_bytes(spark, str(tmp_path / "folder"), 4) == (bytes([text.MAGIC]) + rec)[:4]
+    assert text.first_bytes(spark, put("empty", "")) == b""
+
+
+def test_folder_settings(spark, put):
+    got = text.folder_settings(spark, put("info", "uniqcheck=0\nprefix=hom.\n# x\nsuffix=.txt\ndelim=_+\nother=1\n"))
+    assert got == {"uniqcheck": 0, "idxfile": None, "prefix": "hom.", "suffix": ".txt", "delim": "_"}
+    assert text.folder_settings(spark, put("none", "x\n"))["uniqcheck"] == 1
