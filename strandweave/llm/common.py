@@ -6,6 +6,7 @@ from their lineage are written to the folder that ``spark.checkpoint.dir`` names
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -56,6 +57,27 @@ def python_table(df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name)
 
 
+def trim() -> None:
+    """Gives memory that this Python worker has freed back to the system, as the worker lives on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def trimmed(work):
+    """A function of batches that gives back what it freed when it ends."""
+
+    def run(batches):
+        yield from work(batches)
+        trim()
+
+    return run
+
+
 def held_out(doc_id="doc_id"):
     """True where crc32 of the id as text leaves 2 modulo 4; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -81,4 +103,4 @@ def skew_safe_join(facts: DataFrame, dims: DataFrame, key: str, rows: str) -> Da
     )
 
 
-__all__ = ["WORD_BYTES", "held_out", "materialize", "python_table", "scratch", "shared_dir", "skew_safe_join", "table", "text_batches", "words_of"]
+__all__ = ["WORD_BYTES", "held_out", "materialize", "python_table", "scratch", "shared_dir", "skew_safe_join", "table", "text_batches", "trim", "trimmed", "words_of"]

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_table, words_of
+from .common import python_table, trim, words_of
 
 WINDOW = 13
 MAX_BLOCK_BYTES = 8 << 20
@@ -199,15 +199,18 @@ def _finder(docs: DataFrame, block: list[tuple]):
     name, shared = hashlib.sha256(data).hexdigest(), docs.sparkSession.sparkContext.broadcast(data)
 
     @F.arrow_udf(FOUND)
-    def found(texts: pa.Array) -> pa.Array:
-        tables, out, some, held = _built(name, shared.value), [], [], 0
-        for k in range(len(texts)):
-            some.append(texts[k].as_py())
-            held += len(some[-1] or "")
-            if held >= CHUNK or k == len(texts) - 1:
-                out += tables.many(some)
-                some, held = [], 0
-        return pa.array([{"n_words": n, "hits": hit.tolist(), "items": sorted(items, key=lambda i: (i is not None, i))} for n, hit, items in out], _FOUND)
+    def found(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tables = _built(name, shared.value)
+        for texts in parts:
+            out, some, held = [], [], 0
+            for k in range(len(texts)):
+                some.append(texts[k].as_py())
+                held += len(some[-1] or "")
+                if held >= CHUNK or k == len(texts) - 1:
+                    out += tables.many(some)
+                    some, held = [], 0
+            yield pa.array([{"n_words": n, "hits": hit.tolist(), "items": sorted(items, key=lambda i: (i is not None, i))} for n, hit, items in out], _FOUND)
+        trim()
 
     return found
 

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, materialize, python_table, scratch, skew_safe_join
+from .common import WORD_BYTES, materialize, python_table, scratch, skew_safe_join, trimmed
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -441,7 +441,7 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 
 def _worked(rows: DataFrame) -> DataFrame:
-    signed = python_table(rows.mapInArrow(_sign, NODES), "signed")
+    signed = python_table(rows.mapInArrow(trimmed(_sign), NODES), "signed")
     nodes = materialize(signed.groupBy("node_key").agg(F.min("doc_id").alias("node_id"), F.count(F.lit(1)).alias("n_docs")), "nodes")
     reps = signed.join(nodes.select("node_id"), signed.doc_id == nodes.node_id, "left_semi").filter(F.col("bands").isNotNull())
     bands = materialize(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")), "bands")
@@ -450,7 +450,7 @@ def _worked(rows: DataFrame) -> DataFrame:
     open_ = skew_safe_join(bands, shared, "bucket", "k").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "bucket"), blocks).cast("int"))
     open_ = materialize(open_.drop("k"), "open")
     sigs = materialize(signed.join(open_.select("id").distinct(), signed.doc_id == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "sig"), "sigs")
-    found = _sorted(open_.hint("merge").join(sigs, "id").select("bucket", F.col("block").alias("at"), "id", "sig")).mapInArrow(_groups(_first_pairs), PAIRS)
+    found = _sorted(open_.hint("merge").join(sigs, "id").select("bucket", F.col("block").alias("at"), "id", "sig")).mapInArrow(trimmed(_groups(_first_pairs)), PAIRS)
     new, tested, links, label, long, now, more, top = python_table(found.distinct(), "pairs"), None, None, None, None, None, True, TOP
     sets = python_table(_named(rows, open_.select("id").distinct(), _sets, "id bigint, s binary, c binary"), "sets")
     while True:
@@ -464,10 +464,10 @@ def _worked(rows: DataFrame) -> DataFrame:
                 break
             ids = now.select("id").distinct()
             if long is None:
-                long = python_table(sets.join(ids, "id", "left_semi").select("id", "s", "c").mapInArrow(_long, "id bigint, sig binary"), "sigs")
+                long = python_table(sets.join(ids, "id", "left_semi").select("id", "s", "c").mapInArrow(trimmed(_long), "id bigint, sig binary"), "sigs")
         elif not more:
             break
-        found = _sorted(now.hint("merge").join(long, "id").select("bucket", "at", "id", "cls", "outside", "home", "sig")).mapInArrow(_groups(_more_pairs(top)), PAIRS)
+        found = _sorted(now.hint("merge").join(long, "id").select("bucket", "at", "id", "cls", "outside", "home", "sig")).mapInArrow(trimmed(_groups(_more_pairs(top))), PAIRS)
         found = python_table(found.distinct(), "found")
         more = bool(found.filter("a is null").take(1))
         new = materialize(found.filter("a is not null").join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -524,7 +524,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     mine = pairs.hint("merge").join(sets, pairs.a == sets.id).drop("id")
     theirs = sets.select(F.col("id").alias("b"), F.col("s").alias("ps"), F.col("c").alias("pc"))
     full = mine.hint("merge").join(theirs, "b").select("a", "b", "s", "c", "ps", "pc")
-    return python_table(full.mapInArrow(_test, PAIRS), "links")
+    return python_table(full.mapInArrow(trimmed(_test), PAIRS), "links")
 
 
 def _named(rows: DataFrame, ids: DataFrame, work, schema: str) -> DataFrame:
@@ -556,7 +556,7 @@ def _named(rows: DataFrame, ids: DataFrame, work, schema: str) -> DataFrame:
         yield from work(few())
 
     h = F.xxhash64("doc_id", F.lit(FILTER_SEED))
-    return rows.select("doc_id", "text", F.pmod(h, F.lit(size)).alias("p1"), F.pmod(F.shiftright(h, 32), F.lit(size)).alias("p2")).mapInArrow(run, schema)
+    return rows.select("doc_id", "text", F.pmod(h, F.lit(size)).alias("p1"), F.pmod(F.shiftright(h, 32), F.lit(size)).alias("p2")).mapInArrow(trimmed(run), schema)
 
 
 def _odd(rows: DataFrame) -> bool:

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, held_out, materialize, python_table, scratch
+from .common import WORD_BYTES, held_out, materialize, python_table, scratch, trim, trimmed
 from .transducer import FIXED_WEIGHT, INSULT, NEGATED, NEGATION, OTHER, REPORT, REPORTED, TARGET, TARGETED, THREAT, Grammar
 
 # Words of the grammar's classes.
@@ -195,7 +195,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = int(min(1.0, 1.1 * SAMPLE_DOCS / max(1, known.count())) * (1 << 30))
     few = known.filter(h <= share).orderBy(h, "doc_id").limit(SAMPLE_DOCS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "doc_id")
-    rows = python_table(rows.mapInArrow(_prints, "text string, toxic int, doc_id bigint, print bigint"), "toxic-rows")
+    rows = python_table(rows.mapInArrow(trimmed(_prints), "text string, toxic int, doc_id bigint, print bigint"), "toxic-rows")
     # Copies would make every word of theirs look toxic: one document stays of those that share a print.
     rows = rows.groupBy("toxic", "print").agg(F.min_by(F.struct("text", "doc_id"), F.struct("doc_id", F.xxhash64("text"))).alias("r"))
     rows = materialize(rows.select("r.text", "toxic", F.pmod(F.xxhash64("print"), F.lit(2)).cast("int").alias("half"), "r.doc_id", "print"), "toxic-sample")
@@ -291,7 +291,7 @@ def _fit(docs: DataFrame, labels: DataFrame) -> dict:
         yield from counted()
 
     part = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("toxic") >= y), F.col("n")).otherwise(0))
-    sums = rows.mapInArrow(run, "term binary, half int, toxic int, n bigint").groupBy("term").agg(part(0, 1).alias("t0"), part(0, 0).alias("n0"), part(1, 1).alias("t1"), part(1, 0).alias("n1"))
+    sums = rows.mapInArrow(trimmed(run), "term binary, half int, toxic int, n bigint").groupBy("term").agg(part(0, 1).alias("t0"), part(0, 0).alias("n0"), part(1, 1).alias("t1"), part(1, 0).alias("n1"))
     sums = python_table(sums.filter(F.col("n0") + F.col("n1") >= 3), "toxic-terms")
     base = sum(toxic) / sum(total)
 
@@ -352,6 +352,7 @@ def _scores(docs: DataFrame, model: dict, without: frozenset[str] = frozenset())
         scorer = Scorer(shared.value, Grammar(without))
         for texts in parts:
             yield pa.array([scorer(t.as_py()) for t in texts], pa.float64())
+        trim()
 
     return scores
 
