@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm import decontam, minhash, mixing, sharding, toxicity
-from strandweave.llm.common import materialize, table
+from strandweave.llm.common import materialize, python_table, table
 from strandweave.llm.registry import PIPELINE_MIX, SHARDS
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
-    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    """Documents that are not predicted toxic; written here, where batches of texts for Python have a bound in bytes."""
+    return python_table(toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), "not-toxic")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages, by the rule of a twentieth of their words."""
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+    return python_table(decontam.clean(docs, table(spark, sf_dir, "benchmark")), "not-contaminated")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +65,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        docs = stage(spark, docs, sf_dir)
+        if not hasattr(docs, "sw_table"):  # some stages give a table of their own
+            docs = materialize(docs, "stage-" + name.replace(" ", "-"))
     return docs

@@ -53,7 +53,9 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     if scopes:
         scopes[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.sw_table = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
